@@ -375,6 +375,10 @@ def redact(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def _is(kind: str):
+    return lambda span: span.startswith(kind + ":")
+
+
 def query(docs: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(k + ":"))).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter(F.split("base", ","), _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return find(docs).select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
