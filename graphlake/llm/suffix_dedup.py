@@ -13,7 +13,7 @@ judged on the input.  Three passes:
    construction, ``gsaca.py``) tells which strings are equal: neighbours with a common prefix of ``LENGTH``.
 3. *Removal.*  Intervals go back to their documents.
 
-Documents travel twice, in buckets by ``doc_id``, next to what is to be known of them.  Bounds: an anchor's
+Documents travel once, by ``doc_id``; both later passes read that shuffle, next to what is to be known of them.  Bounds: an anchor's
 contexts reach one task as one row per map block of text and distinct context; suffix arrays are built over blocks
 of about ``BLOCK`` bytes.  Anchors whose parts exceed ``BLOCK`` are compared string by string, hashed and grouped by
 Spark, with the same result.
@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power, materialise, mix, prefix_sums, span_hashes, utf8_blocks
+from .common import _power, mix, prefix_sums, span_hashes, utf8_blocks
 from .gsaca import lcp_array, suffix_array
 
 LENGTH = 50
@@ -131,32 +132,29 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _contexts(buckets: int, length: int):
-    """Documents (doc_id, text, bucket) to blobs by anchor bucket."""
+    """Documents (doc_id, text) to blobs by anchor bucket."""
 
     def flush(held):
         if not held:
             return None
-        h, ck, doc, db = (np.concatenate(x) for x in zip(*held))
+        h, ck, doc = (np.concatenate(x) for x in zip(*held))
         ids, idx = np.unique(doc, return_inverse=True)
-        dbs = np.zeros(len(ids), np.int32)
-        dbs[idx] = db
         bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
         rows = []
         for k, at in _split(bucket):
             own, small = np.unique(idx[at], return_inverse=True)
-            rows.append((k, _pack(_low(h[at], 5), _low(ck[at], 6), ids[own], dbs[own], small.astype(np.uint32))))
+            rows.append((k, _pack(_low(h[at], 5), _low(ck[at], 6), ids[own], small.astype(np.uint32))))
         return _blobs(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             ids, null = _ids(b)
-            db = b.column("bucket").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in utf8_blocks(b.column("text")):
                 h, _, _, _, ck, d = anchors(data, offsets, length)
                 d = d + i
                 use = ~null[d]
-                held.append((h[use], ck[use], ids[d[use]], db[d[use]]))
+                held.append((h[use], ck[use], ids[d[use]]))
                 size += len(data)
                 if size > 24 << 20:
                     yield flush(held)
@@ -182,15 +180,15 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byte
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of an anchor bucket to blobs by document bucket: keys, with bit 0 set where bytes are wanted."""
+    """Contexts of an anchor bucket to (doc_id, key), bit 0 of the key set where bytes are wanted."""
     for _, blobs in _grouped(batches):
         parts = []
         for blob in blobs:
-            h, ck, ids, db, small = _unpack(blob, "raw", "raw", "<i8", "<i4", "<u4")
-            parts.append((_high(h, 5), _high(ck, 6), ids[small], db[small]))
-        h, ck, doc, db = (np.concatenate(x) for x in zip(*parts))
+            h, ck, ids, small = _unpack(blob, "raw", "raw", "<i8", "<u4")
+            parts.append((_high(h, 5), _high(ck, 6), ids[small]))
+        h, ck, doc = (np.concatenate(x) for x in zip(*parts))
         o = np.lexsort((doc, ck, h))
-        h, ck, doc, db = h[o], ck[o], doc[o], db[o]
+        h, ck, doc = h[o], ck[o], doc[o]
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
         new_c = new_h.copy()
@@ -204,79 +202,74 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(use):
             continue
         key = _key(h[use], ck[use]) | want[use].astype(np.uint64)
-        rows = []
-        for k, at in _split(db[use].astype(np.int64)):
-            own, small = np.unique(doc[use[at]], return_inverse=True)
-            rows.append((k, _pack(key[at], own, small.astype(np.uint32))))
-        yield _blobs(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(key.view(np.int64))], ["doc_id", "key"])
+
+
+def _listed(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lists in rows [i, j) and each value's row, from i."""
+    part = column.slice(i, j - i)
+    n = np.asarray(pc.fill_null(pc.list_value_length(part), 0), np.int64)
+    return part.flatten(), np.repeat(np.arange(j - i), n)
+
+
+_CUTS = ["doc_id", "rk", "start", "end"]
+
+
+def _intervals(doc: np.ndarray, rk: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Rows of kind 0: what goes from which row of the documents; intervals that touch are one."""
+    o = np.lexsort((start, rk, doc))
+    doc, rk, start, end = doc[o], rk[o], start[o], end[o]
+    if len(o):
+        # Within a row all are at most `length` + Q long and sorted, so only the one before can reach this one.
+        top = np.maximum.accumulate(end + np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1]))) * (1 << 40)) % (1 << 40)
+        new = np.ones(len(o), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1]) | (start[1:] > top[:-1])
+        f = np.flatnonzero(new)
+        doc, rk, start, end = doc[f], rk[f], start[f], top[np.append(f[1:], len(o)) - 1]
+    n = len(doc)
+    none = pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), none, pa.array(doc), pa.array(rk.view(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["kind", "blob", *_CUTS])
 
 
 def _fetch(buckets: int, length: int):
-    """Per document bucket first blobs of keys, then documents; to intervals (kind 0) and contexts' bytes (kind 1)."""
+    """Documents with their keys to intervals (kind 0) and contexts' bytes (kind 1: blob, bucket in doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs, keys = None, [], None
         for b in batches:
-            bucket = b.column("bucket").to_numpy(zero_copy_only=False)
-            told = b.column("blob")
-            is_doc = np.asarray(told.is_null(), bool)
-            cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(is_doc.astype(np.int8)) != 0)) + 1
-            edges = [0, *cut.tolist(), len(bucket)]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi == lo:
+            ids, null = _ids(b)
+            for i, j, data, offsets in utf8_blocks(b.column("text")):
+                told, row = _listed(b.column("keys"), i, j)
+                if not len(told):
                     continue
-                if bucket[lo] != now:
-                    now, blobs, keys = bucket[lo], [], None
-                if not is_doc[lo]:
-                    blobs += told.slice(lo, hi - lo).to_pylist()
+                k = np.asarray(told, np.int64).view(np.uint64)
+                salt = mix(np.arange(j - i, dtype=np.uint64), 3) & ~np.uint64(1)
+                keys = np.unique(((k & ~np.uint64(1)) + salt[row]) | (k & np.uint64(1)))
+                h, at, s, e, ck, d = anchors(data, offsets, length)
+                if not len(h):
                     continue
-                if keys is None:
-                    parts = [_unpack(x, "<u8", "<i8", "<u4") for x in blobs]
-                    if parts:
-                        k = np.concatenate([p[0] for p in parts])
-                        d = np.concatenate([p[1][p[2]] for p in parts])
-                        keys = np.unique(((k & ~np.uint64(1)) + (mix(d.view(np.uint64), 3) & ~np.uint64(1))) | (k & np.uint64(1)))
-                    else:
-                        keys = np.zeros(0, np.uint64)
-                    blobs = []
-                if not len(keys):
+                key = _key(h, ck) + salt[d]
+                hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)]
+                status = np.where((hit & ~np.uint64(1)) == key, 1 + (hit & np.uint64(1)).astype(np.int64), 0)
+                status[null[d + i]] = 0
+                if not status.any():
                     continue
-                part = b.slice(lo, hi - lo)
-                ids, null = _ids(part)
-                for i, j, data, offsets in utf8_blocks(part.column("text")):
-                    h, at, s, e, ck, d = anchors(data, offsets, length)
-                    if not len(h):
-                        continue
-                    doc = ids[d + i]
-                    key = (_key(h, ck) + (mix(doc.view(np.uint64), 3) & ~np.uint64(1)))
-                    pos = np.searchsorted(keys, key)
-                    hit = keys[np.minimum(pos, len(keys) - 1)]
-                    status = np.where((hit & ~np.uint64(1)) == key, 1 + (hit & np.uint64(1)).astype(np.int64), 0)
-                    status[null[d + i]] = 0
-                    some = np.unique(d[status > 0])
-                    if not len(some):
-                        continue
-                    sums = prefix_sums(data)
-                    th = span_hashes(sums, offsets[some], offsets[some + 1])
-                    rk = np.zeros(j - i, np.uint64)
-                    rk[some] = mix(ids[some + i].view(np.uint64) ^ th, 11)
-                    base = offsets[:-1]
-                    w = np.flatnonzero(status == 1)
-                    rows0 = [(int(now), _pack(rk[d[w]], (s[w] - base[d[w]]).astype(np.uint32), (e[w] + length - base[d[w]]).astype(np.uint32)))] if len(w) else []
-                    w = np.flatnonzero(status == 2)
-                    rows1 = []
-                    if len(w):
-                        to = ((h[w] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                        for k, x in _split(to):
-                            x = w[x]
-                            ln = e[x] + length - s[x]
-                            idx = np.repeat(s[x] - np.concatenate([[0], np.cumsum(ln)[:-1]]), ln) + np.arange(ln.sum())
-                            blob = _pack(h[x], doc[x], rk[d[x]], (s[x] - base[d[x]]).astype(np.uint32), (at[x] - s[x]).astype(np.uint8), ln.astype(np.uint8), data[idx])
-                            rows1.append((k, struct.pack("<i", int(now)) + blob))
-                    for kind, rows in ((0, rows0), (1, rows1)):
-                        if rows:
-                            r = _blobs(rows)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), r.column(0), r.column(1)], ["kind", "bucket", "blob"])
+                th = span_hashes(prefix_sums(data), offsets[:-1], offsets[1:])
+                rk = mix(ids[i:j].view(np.uint64) ^ th, 11)
+                base = offsets[:-1]
+                doc = ids[i:j]
+                w = np.flatnonzero(status == 1)
+                if len(w):
+                    yield _intervals(doc[d[w]], rk[d[w]], s[w] - base[d[w]], e[w] + length - base[d[w]])
+                w = np.flatnonzero(status == 2)
+                if len(w):
+                    rows = []
+                    for b_, x in _split(((h[w] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
+                        x = w[x]
+                        ln = e[x] + length - s[x]
+                        idx = np.repeat(s[x] - np.concatenate([[0], np.cumsum(ln)[:-1]]), ln) + np.arange(ln.sum())
+                        rows.append((b_, _pack(h[x], doc[d[x]], rk[d[x]], (s[x] - base[d[x]]).astype(np.uint32), (at[x] - s[x]).astype(np.uint8), ln.astype(np.uint8), data[idx])))
+                    none = pa.nulls(len(rows), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.int64()), none, none, none], ["kind", "blob", *_CUTS])
 
     return run
 
@@ -308,15 +301,18 @@ def least_holders(parts: list[bytes], owners: np.ndarray, length: int) -> list[n
 
 
 def _resolve(length: int, block: int = BLOCK, crowd: int = CROWD):
-    """Contexts' bytes of an anchor bucket to intervals (kind 0) by document bucket, or strings of crowded anchors (kind 1)."""
+    """Contexts' bytes of an anchor bucket to intervals (kind 0), or strings of crowded anchors (kind 1); intervals pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blobs in _grouped(batches):
+        for blobs in _sorted_out(batches):
+            if isinstance(blobs, pa.RecordBatch):
+                yield blobs
+                continue
             parts = []
             for blob in blobs:
-                h, doc, rk, s, rel, ln, raw = _unpack(blob[4:], "<u8", "<i8", "<u8", "<u4", "u1", "u1", "raw")
-                parts.append((h, doc, rk, s.astype(np.int64), rel.astype(np.int64), ln.astype(np.int64), np.full(len(h), struct.unpack_from("<i", blob)[0]), raw))
-            h, doc, rk, s, rel, ln, db, raw = (np.concatenate(x) for x in zip(*parts))
+                h, doc, rk, s, rel, ln, raw = _unpack(blob, "<u8", "<i8", "<u8", "<u4", "u1", "u1", "raw")
+                parts.append((h, doc, rk, s.astype(np.int64), rel.astype(np.int64), ln.astype(np.int64), raw))
+            h, doc, rk, s, rel, ln, raw = (np.concatenate(x) for x in zip(*parts))
             begin = np.concatenate([[0], np.cumsum(ln)[:-1]])
             sums = prefix_sums(raw)
             nw = ln - length + 1
@@ -395,85 +391,79 @@ def _resolve(length: int, block: int = BLOCK, crowd: int = CROWD):
             if todo:
                 solve(todo)
             row, lo, hi = (np.concatenate(x) for x in zip(*cut))
-            out = [(0, kk, _pack(rk[row[x]], (s[row[x]] + lo[x]).astype(np.uint32), (s[row[x]] + hi[x]).astype(np.uint32))) for kk, x in _split(db[row])]
-            yield _typed(out)
+            yield _intervals(doc[row], rk[row], s[row] + lo, s[row] + hi)
             for m in crowded:
                 rows = []
                 for x in np.flatnonzero((holder == lead) & np.isin(of, m)):
                     y = c[x]
                     for i in range(k0[x], k0[x] + z[x] - a[x] - length + 1):
                         g = begin[y] + i
-                        rows.append((hashlib.md5(h[y].tobytes() + raw[g : g + length].tobytes()).digest(), int(doc[y]), int(db[y]), int(rk[y].view(np.int64)), int(s[y] + i)))
+                        rows.append((hashlib.md5(h[y].tobytes() + raw[g : g + length].tobytes()).digest(), int(doc[y]), int(rk[y].view(np.int64)), int(s[y] + i), int(s[y] + i + length)))
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([1] * len(rows), pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
-                    ["kind", "bucket", "blob", "doc", "rk", "at"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows), pa.int32()), pa.array(cols[0], pa.binary()), *(pa.array(x, pa.int64()) for x in cols[1:])], ["kind", "blob", *_CUTS])
 
     return run
 
 
-def _typed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    none = pa.nulls(len(rows), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), none, none, none],
-        ["kind", "bucket", "blob", "doc", "rk", "at"],
-    )
-
+def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | list[bytes]]:
+    """Rows of kind 0 as they come, blobs of kind 1 by bucket (rows arrive in the order of kind and bucket)."""
+    now, held = None, []
+    for b in batches:
+        kind = b.column("kind").to_numpy(zero_copy_only=False)
+        n = int(np.searchsorted(kind, 1))
+        if n:
+            yield b.slice(0, n)
+        for k, blob in zip(b.column("doc_id").slice(n).to_pylist(), b.column("blob").slice(n).to_pylist()):
+            if k != now:
+                if held:
+                    yield held
+                now, held = k, []
+            held.append(blob)
+    if held:
+        yield held
 
-def _string_intervals(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rk = b.column("rk").to_numpy(zero_copy_only=False).view(np.uint64)
-            at = b.column("at").to_numpy(zero_copy_only=False)
-            yield _blobs([(k, _pack(rk[x], at[x].astype(np.uint32), (at[x] + length).astype(np.uint32))) for k, x in _split(b.column("bucket").to_numpy(zero_copy_only=False))])
 
-    return run
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Crowded anchors' strings in the order of string and document: all but the least document's become intervals."""
+    string, least = None, None
+    for b in batches:
+        gone = b.column("kind").to_numpy(zero_copy_only=False) == 0
+        blob, doc = b.column("blob").to_pylist(), b.column("doc_id").to_pylist()
+        for x in np.flatnonzero(~gone):
+            if blob[x] != string:
+                string, least = blob[x], doc[x]
+            gone[x] = doc[x] > least
+        yield b.filter(pa.array(gone)).select(_CUTS)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document bucket first blobs of intervals, then documents; to documents with what is left."""
-    now, blobs, cuts = None, [], None
+    """Documents with their intervals to documents with what is left."""
     for b in batches:
-        bucket = b.column("bucket").to_numpy(zero_copy_only=False)
-        told = b.column("blob")
-        is_doc = np.asarray(told.is_null(), bool)
-        edges = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(is_doc.astype(np.int8)) != 0)) + 1).tolist(), len(bucket)]
-        for lo, hi in zip(edges, edges[1:]):
-            if hi == lo:
-                continue
-            if bucket[lo] != now:
-                now, blobs, cuts = bucket[lo], [], None
-            if not is_doc[lo]:
-                blobs += told.slice(lo, hi - lo).to_pylist()
-                continue
-            if cuts is None:
-                parts = [_unpack(x, "<u8", "<u4", "<u4") for x in blobs] or [[np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)]]
-                rk, f, t = (np.concatenate(x) for x in zip(*parts))
-                o = np.argsort(rk, kind="stable")
-                cuts, blobs = (rk[o], f[o].astype(np.int64), t[o].astype(np.int64)), []
-            part = b.slice(lo, hi - lo)
-            ids, null = _ids(part)
-            for i, j, data, offsets in utf8_blocks(part.column("text")):
-                n = np.diff(offsets)
-                th = span_hashes(prefix_sums(data), offsets[:-1], offsets[1:])
-                mine = mix(ids[i:j].view(np.uint64) ^ th, 11)
-                a, z = np.searchsorted(cuts[0], mine, "left"), np.searchsorted(cuts[0], mine, "right")
-                removed, spans, left = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), []
-                for x in range(j - i):
-                    text = data[offsets[x] : offsets[x + 1]]
-                    if z[x] > a[x] and not null[i + x]:
-                        step = np.zeros(n[x] + 1, np.int32)
-                        np.add.at(step, cuts[1][a[x] : z[x]], 1)
-                        np.add.at(step, cuts[2][a[x] : z[x]], -1)
-                        gone = np.cumsum(step[:-1]) > 0
-                        removed[x] = gone.sum()
-                        spans[x] = gone[0] + np.count_nonzero(gone[1:] & ~gone[:-1])
-                        text = text[~gone]
-                    left.append(text.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(i, j - i), pa.array(n), pa.array(removed), pa.array(spans), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-                )
+        ids, null = _ids(b)
+        for i, j, data, offsets in utf8_blocks(b.column("text")):
+            n = np.diff(offsets)
+            mine = mix(ids[i:j].view(np.uint64) ^ span_hashes(prefix_sums(data), offsets[:-1], offsets[1:]), 11).view(np.int64)
+            told, row = _listed(b.column("cuts"), i, j)
+            rk, f, t = (np.asarray(told.field(k), np.int64) for k in range(3)) if len(row) else (np.zeros(0, np.int64),) * 3
+            use = (rk == mine[row]) & ~null[i:j][row]
+            row, f, t = row[use], f[use], t[use]
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, offsets[row] + f, 1)
+            np.add.at(step, offsets[row] + t, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
+            first = offsets[:-1][n > 0]
+            edge[first] = gone[first]
+            spans = np.concatenate([[0], np.cumsum(edge)])
+            left = []
+            for a, z in zip(offsets[:-1], offsets[1:]):
+                left.append(data[a:z][~gone[a:z]].tobytes() if removed[z] > removed[a] else data[a:z].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").slice(i, j - i), pa.array(n), pa.array(removed[offsets[1:]] - removed[offsets[:-1]]), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array(left, pa.binary())],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,33 +472,24 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], sha], [*b.schema.names[:4], "kept_sha256"])
 
 
-def _beside(blobs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Blobs and documents in one table, by bucket, blobs first."""
-    a = blobs.select("bucket", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    b = docs.select("bucket", F.lit(None).cast("binary").alias("blob"), "doc_id", "text")
-    return a.unionByName(b).repartition("bucket").sortWithinPartitions("bucket", F.col("blob").isNull())
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` are the remaining bytes (digest: their SHA-256)."""
-    spark = docs.sparkSession
     if length < 2 * Q or length > 200:
         raise ValueError("length must be between 32 and 200")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    blob = "bucket int, blob binary"
-    met = docs.mapInArrow(_contexts(buckets, length), blob).repartition("bucket").sortWithinPartitions("bucket")
-    keys = met.mapInArrow(_judge, blob)
-    fetched = materialise(_beside(keys, docs).mapInArrow(_fetch(buckets, length), "kind int, " + blob), "contexts")
-    bytes_ = fetched.where("kind = 1").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-    solved = materialise(bytes_.mapInArrow(_resolve(length), "kind int, " + blob + ", doc long, rk long, at long"), "intervals")
-    strings = solved.where("kind = 1")
-    least = strings.groupBy("blob").agg(F.min("doc").alias("least"))
-    crowd = strings.join(least, "blob").where("doc > least").mapInArrow(_string_intervals(length), blob)
-    cuts = fetched.where("kind = 0").select("bucket", "blob").unionByName(solved.where("kind = 0").select("bucket", "blob")).unionByName(crowd)
+    met = docs.mapInArrow(_contexts(buckets, length), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    keys = met.mapInArrow(_judge, "doc_id long, key long").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    cut = "kind int, blob binary, doc_id long, rk long, start long, end long"
+    # Both joins find the documents in the same shuffle (Spark reuses the exchange).
+    fetched = docs.join(keys.hint("merge"), "doc_id", "left").mapInArrow(_fetch(buckets, length), cut)
+    solved = fetched.repartition("kind", "doc_id").sortWithinPartitions("kind", "doc_id").mapInArrow(_resolve(length), cut)
+    own = F.coalesce(F.xxhash64("blob"), F.xxhash64("doc_id"))
+    settled = solved.repartition(own).sortWithinPartitions("kind", "blob", "doc_id").mapInArrow(_settle, "doc_id long, rk long, start long, end long")
+    cuts = settled.groupBy("doc_id").agg(F.collect_list(F.struct("rk", "start", "end")).alias("cuts"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, "
-    return _beside(cuts, docs).mapInArrow(_digest if digest else _remove, out + ("kept_sha256 string" if digest else "kept binary"))
+    whole = docs.join(cuts.hint("merge"), "doc_id", "left")
+    return whole.mapInArrow(_digest if digest else _remove, out + ("kept_sha256 string" if digest else "kept binary"))
 
 
 def query(docs: DataFrame) -> DataFrame:
