@@ -157,13 +157,12 @@ def _one_set(text: bytes, words: int) -> np.ndarray:
     return shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)[0]
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b: doc_ids) of ``docs`` whose shingle sets reach the similarity.
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b: doc_ids) whose shingle sets reach the similarity; a text travels once for each of its pairs.
 
-    Only documents that occur in a pair travel, once for each pair they are the lesser of.
+    Both sides grow with the corpus, so the joins are merge joins at every size.
     """
-    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.join(used, "doc_id").select("doc_id", "text"), "pair-texts")
+    texts = texts.hint("merge")
     lesser = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     full = lesser.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return full.select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
@@ -179,14 +178,16 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
     spans = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("byte").alias("t"), F.substring(F.col("sig"), t * 4 * depth + 1, F.lit(4 * depth)).alias("s")))
     tree = classes.select("cid", F.explode(spans).alias("x")).select("cid", F.xxhash64(F.col("x.t"), F.substring("x.s", 1, 4 * root)).alias("region"), F.substring("x.s", 4 * root + 1, 4 * (depth - root)).alias("rest"))
     crowds = tree.groupBy("region").agg(F.count("*").alias("n"), F.min("cid").alias("head")).where("n > 1").drop("n")
-    sorted_trees = tree.join(crowds, "region").repartition("region").sortWithinPartitions("region", "rest", "cid")
+    sorted_trees = tree.join(crowds.hint("merge"), "region").repartition("region").sortWithinPartitions("region", "rest", "cid")
     found = sorted_trees.select("region", "cid", "head").mapInArrow(_neighbours(window), "a long, b long")
     pairs = materialise(found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
 
+    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialise(docs.join(used.hint("merge"), "doc_id"), "pair-texts")  # only documents with candidates
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    first = materialise(confirm(best, docs, words, percent), "links")
+    first = materialise(confirm(best, texts, words, percent), "links")
     # Versions of one document belong together, whatever their sets.
-    members = usable.join(classes.select("h1", "h2", "n", "cid"), ["h1", "h2", "n"]).select("doc_id", "cid", "h1")
+    members = usable.join(classes.select("h1", "h2", "n", "cid").hint("merge"), ["h1", "h2", "n"]).select("doc_id", "cid", "h1")
     versions = usable.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id")
     same = members.join(versions, "doc_id").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     first = first.unionByName(same)
@@ -199,11 +200,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
         .select("a", "b")
     )
     left = materialise(left, "left")
-    second = confirm(left, docs, words, percent)
+    second = confirm(left, texts, words, percent)
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     # A class that no link reaches is its own component; documents follow their class.
     of_class = classes.join(final, F.col("cid") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("root", "cid").alias("root"))
-    out = signed.join(of_class, ["h1", "h2", "n"], "left")
+    out = signed.join(of_class.hint("merge"), ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
