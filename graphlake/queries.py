@@ -77,12 +77,23 @@ SELECT t.n AS nation, c.k AS customer, s.k AS supplier FROM t JOIN c ON c.n = t.
 }
 
 
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def _open(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph over a folder, opened once a session: schemas are read once, rows at every query."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _graphs:
+        _graphs[at] = star_graph(spark, sf_dir)
+    return _graphs[at]
+
+
 def _text_query(text: str, names: list[str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run_query(star_graph(spark, sf_dir), text).frame(names)
+    return lambda spark, sf_dir: run_query(_open(spark, sf_dir), text).frame(names)
 
 
 def _graph(f: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(star_graph(spark, sf_dir))
+    return lambda spark, sf_dir: f(_open(spark, sf_dir))
 
 
 def _graphql(text: str, root: str) -> Callable[[Graph], DataFrame]:
