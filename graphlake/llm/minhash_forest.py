@@ -3,19 +3,24 @@
 Each document's set of word shingles is hashed to ``TREES`` short MinHash signatures of ``DEPTH`` values.  Every
 tree is a sorted order of signatures; documents that agree in the first ``ROOT`` values of a tree make up a region,
 and inside a region a document's candidates are its neighbours in the order, which are those with the longest
-common prefix.  Depth adapts: in a region of at most ``WINDOW`` documents all meet (depth ``ROOT``); in a denser
-one each meets the ``WINDOW`` next in the order, which agree with it as deeply as the region is dense, and the
+common prefix.  Depth adapts: in a region of at most ``WINDOW`` + 1 documents all meet (depth ``ROOT``); in a denser
+one each first meets the ``WINDOW`` next in the order, which agree with it as deeply as the region is dense, and the
 region's least document.  Candidates are confirmed on full sets.
 
-Confirmation in two rounds: first each document with the candidate it shares most trees with, which already joins
-most groups; then all candidates that still lie in different components.  A candidate inside one component
+Confirmation in three rounds: first each document with the candidate it shares most trees with, which already joins
+most groups; then all candidates that still lie in different components; then, in every region denser than the
+window, all pairs that still lie in different components (``crowd_links``).  A candidate inside one component
 cannot change the result and isn't looked at.
 
+The third round is exact: a region is split into blocks of bounded mass by a salt and every pair of blocks is one
+group of rows.  A pair is passed over only if its sizes or the parity bitmaps of its sets prove it is not similar
+enough, or if links already confirmed connect it; all others are compared on full sets.  Its cost is quadratic in a
+region's different texts that stay apart.
+
 Equal sets are one class from the start (128-bit hash of the set), so copies, however many, cost a row each.
 Regions are keyed by tree and prefix: a region can be large only if that many *different* texts resemble each
-other; it is streamed in order through a window of constant size, never held, and never all its pairs.  Recall of
-a link at similarity s, by one tree alone, is s ** ROOT: at 0.8 and 24 trees a link that its region's window holds
-is missed with probability 6e-6.
+other; it is streamed and at most one block of it is held.  Recall of a link at similarity s, by one tree alone, is
+s ** ROOT: at 0.8 and 24 trees a link is missed with probability 6e-6, however dense its regions are.
 
 Nulls and edges: empty or null text has no set: 0 shingles, its own component.  A null ``doc_id`` is linked with
 nothing, component null, kept.  Rows that share a ``doc_id`` are versions of one document: linked with each other
@@ -38,6 +43,9 @@ TREES = 24
 DEPTH = 6
 ROOT = 3
 WINDOW = 12
+#: Mass of a block of a dense region: shingles, and as many as ``ROW_MASS`` for each document besides.
+BLOCK_MASS = 1 << 20
+ROW_MASS = 256
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +161,108 @@ def _confirm(words: int, percent: int):
     return run
 
 
+class _Block:
+    """The held documents of a block, and which of them are connected as far as known."""
+
+    def __init__(self, widest: int, percent: int):
+        self.bits = min(max(512, 1 << int(2 * widest).bit_length()), 1 << 16)
+        self.percent = percent
+        self.maps = np.zeros((64, self.bits // 64), np.uint64)
+        self.sizes, self.labels = np.zeros(64, np.int64), np.zeros(64, np.int64)
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.parent: dict[int, int] = {}
+
+    def bitmap(self, s: np.ndarray) -> np.ndarray:
+        """Bit by bit the parity of the elements there: two maps differ in at most as many bits as their sets in elements."""
+        odd = np.bincount((s & np.uint64(self.bits - 1)).astype(np.int64), minlength=self.bits) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+    def label(self, root: int) -> int:
+        while root in self.parent:
+            root = self.parent[root]
+        return root
+
+    def links(self, root: int, s: np.ndarray, bitmap: np.ndarray) -> list[int]:
+        """Held documents that ``s`` is linked with, enough of them to connect all it is similar to."""
+        n, p, out = len(self.ids), self.percent, []
+        mine, size = self.label(root), len(s)
+        sizes = self.sizes[:n]
+        near = np.flatnonzero((self.labels[:n] != mine) & (100 * np.minimum(sizes, size) >= p * np.maximum(sizes, size)))
+        if not len(near):
+            return out
+        apart = np.bitwise_count(self.maps[near] ^ bitmap).sum(1, dtype=np.int64)
+        may = (100 + p) * apart <= (100 - p) * (sizes[near] + size)
+        near = near[may][np.argsort(apart[may], kind="stable")]
+        for x in near:
+            theirs = self.labels[x]
+            if theirs == mine:
+                continue
+            both = len(np.intersect1d(s, self.sets[x], assume_unique=True))
+            if 100 * both >= p * (size + len(self.sets[x]) - both):
+                out.append(self.ids[x])
+                self.parent[int(theirs)] = mine
+                self.labels[:n][self.labels[:n] == theirs] = mine
+        return out
+
+    def hold(self, cid: int, root: int, s: np.ndarray, bitmap: np.ndarray) -> None:
+        n = len(self.ids)
+        if n == len(self.sizes):
+            self.maps = np.concatenate([self.maps, np.zeros_like(self.maps)])
+            self.sizes, self.labels = np.append(self.sizes, np.zeros_like(self.sizes)), np.append(self.labels, np.zeros_like(self.labels))
+        self.maps[n], self.sizes[n], self.labels[n] = bitmap, len(s), self.label(root)
+        self.ids.append(cid)
+        self.sets.append(s)
+
+
+def _all_pairs(words: int, percent: int):
+    """Rows arrive by (region, one, two) and then by block, the held one first; yields confirmed links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block = None, None
+        for batch in batches:
+            a, b = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("region", "one", "two", "mine", "cid", "root", "widest")))
+            sets = (s for _, _, data, offsets in utf8_blocks(batch.column("text")) for s in shingle_sets(data, offsets, words))
+            for (region, one, two, mine, cid, root, widest), s in zip(rows, sets):
+                if (region, one, two) != group:
+                    group, block = (region, one, two), _Block(widest, percent)
+                if not len(s):
+                    continue
+                bitmap = block.bitmap(s)
+                if one == two or mine == two:
+                    found = block.links(root, s, bitmap)
+                    a += [cid] * len(found)
+                    b += found
+                if mine == one:
+                    block.hold(cid, root, s, bitmap)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def crowd_links(tree: DataFrame, roots: DataFrame, docs: DataFrame, words: int, percent: int, window: int, block_mass: int = BLOCK_MASS) -> DataFrame:
+    """Links between the components ``roots`` (node, root) that join all similar documents of any region denser than the window.
+
+    ``tree``: (cid, n, region), n being the number of shingles.
+    """
+    now = roots.select(F.col("node").alias("cid"), "root").hint("merge")
+    rooted = tree.join(now, "cid", "left").select("region", "cid", "n", F.coalesce("root", "cid").alias("root"))
+    dense = (
+        rooted.groupBy("region")
+        .agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.col("n") + ROW_MASS).alias("mass"), F.max("n").alias("widest"))
+        .where((F.col("m") > window + 1) & (F.col("lo") != F.col("hi")))
+        .select("region", F.ceil(F.col("mass") / block_mass).cast("int").alias("blocks"), "widest")
+    )
+    rows = rooted.join(dense.hint("merge"), "region").withColumn("mine", F.pmod(F.xxhash64("cid", "region"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", "cid", "root", "widest", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+    full = rows.join(docs.select(F.col("doc_id").alias("cid"), "text").hint("merge"), "cid")
+    grouped = full.repartition("region", "one", "two").sortWithinPartitions("region", "one", "two", "mine", "root", "cid")
+    found = grouped.select("region", "one", "two", "mine", "cid", "root", "widest", "text").mapInArrow(_all_pairs(words, percent), "a long, b long")
+    return found.where("a <> b").distinct()
+
+
 def _one_set(text: bytes, words: int) -> np.ndarray:
     return shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), words)[0]
 
@@ -176,9 +286,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
     by_set = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig"))
     classes = materialise(by_set, "classes")
     spans = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("byte").alias("t"), F.substring(F.col("sig"), t * 4 * depth + 1, F.lit(4 * depth)).alias("s")))
-    tree = classes.select("cid", F.explode(spans).alias("x")).select("cid", F.xxhash64(F.col("x.t"), F.substring("x.s", 1, 4 * root)).alias("region"), F.substring("x.s", 4 * root + 1, 4 * (depth - root)).alias("rest"))
+    tree = classes.select("cid", "n", F.explode(spans).alias("x")).select("cid", "n", F.xxhash64(F.col("x.t"), F.substring("x.s", 1, 4 * root)).alias("region"), F.substring("x.s", 4 * root + 1, 4 * (depth - root)).alias("rest"))
     crowds = tree.groupBy("region").agg(F.count("*").alias("n"), F.min("cid").alias("head")).where("n > 1").drop("n")
-    sorted_trees = tree.join(crowds.hint("merge"), "region").repartition("region").sortWithinPartitions("region", "rest", "cid")
+    sorted_trees = tree.drop("n").join(crowds.hint("merge"), "region").repartition("region").sortWithinPartitions("region", "rest", "cid")
     found = sorted_trees.select("region", "cid", "head").mapInArrow(_neighbours(window), "a long, b long")
     pairs = materialise(found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
 
@@ -202,6 +312,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
     left = materialise(left, "left")
     second = confirm(left, texts, words, percent)
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    third = materialise(crowd_links(tree.select("cid", "n", "region"), final, docs, words, percent, window), "crowd-links")
+    if not third.isEmpty():
+        final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third))
     # A class that no link reaches is its own component; documents follow their class.
     of_class = classes.join(final, F.col("cid") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("root", "cid").alias("root"))
     out = signed.join(of_class.hint("merge"), ["h1", "h2", "n"], "left")

@@ -275,6 +275,43 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash_forest.query(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_hub_amid_its_variants(spark):
+    """Variants resemble the original, but mostly not each other; the original's id is not the least."""
+    ship(spark)
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(5000)}" for _ in range(250)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        if i != 700:
+            for k in rng.sample(range(10, 240), 4):
+                w[k] = f"z{i}x{k}"
+        rows.append((i, " ".join(w), "en", "hot", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = components_brute([rows[700], *rows[:60], *rows[1440:]], 5)
+    assert {c for _, c in want.values()} == {0}
+    assert {r.component_id for r in minhash_forest.link(docs, 5).collect()} == {0}
+
+
+def test_dense_regions_lose_no_pair_across_blocks(spark):
+    ship(spark)
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(900)}" for _ in range(80)]
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.sample(range(80), rng.randrange(5)):
+            w[k] = f"z{i}x{k}"
+        rows.append((i, " ".join(w), "en", "hot", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = components_brute(rows, 5)
+    tree = spark.createDataFrame([(d, n, 7) for d, (n, _) in want.items()], "cid long, n long, region long")
+    for mass in (1 << 20, 4000):  # one block, and many
+        links = minhash_forest.crowd_links(tree, spark.createDataFrame([], "node long, root long"), docs, 5, 80, 12, mass)
+        joined = {r.node: r.root for r in minhash_forest.components(links).collect()}
+        assert {d: joined.get(d, d) for d in want} == {d: c for d, (_, c) in want.items()}
+
+
 # --- 7 ---
 
 
