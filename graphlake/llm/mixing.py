@@ -10,17 +10,21 @@ the rates if the number of sources is at most ``MAX_BROADCAST`` (counted), else
 
 Nulls and edges: a null source is a source of its own; a null or repeated ``doc_id`` hashes like any value, so
 equal rows get equal counts and, copy by copy, equal keys; sources without a target weight get none (rate 0);
-weights are relative and negative ones are refused.  Long inversions: sums end at mean + 12 * sqrt(mean) + 30.
+weights are relative and negative ones are refused.  Long inversions: sums end at mean + 12 * sqrt(mean) + 30, and
+for means over ``LARGE`` start as far below the mean, as exp(-mean) is 0 there: what is left out is far below u's step.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 20240117
 ALPHA = 0.5
 MAX_BROADCAST = 10_000
+LARGE = 600
 
 
 def unit(*parts):
@@ -31,14 +35,19 @@ def unit(*parts):
 
 def poisson(mean, u):
     """The smallest k with P(X <= k) >= u."""
-    top = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
-    start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("k"))
+    reach = 12 * F.sqrt(mean) + 30
+    top = F.ceil(mean + reach).cast("int")
+    low = F.when(mean > LARGE, F.floor(mean - reach)).otherwise(0).cast("int")
+    # P(X = low), ln(low!) by Stirling's series
+    log_p = low * F.log(mean / low) + (low - mean) - F.log(low * (2 * math.pi)) / 2 - 1 / (12.0 * low) + 1 / (360.0 * low * low * low)
+    p_low = F.when(mean > LARGE, F.exp(log_p)).otherwise(F.exp(-mean))
+    start = F.struct(p_low.alias("p"), p_low.alias("c"), low.alias("k"))
 
     def step(acc, i):
         p = acc["p"] * mean / i
         return F.when(acc["c"] >= u, acc).otherwise(F.struct(p.alias("p"), (acc["c"] + p).alias("c"), i.cast("int").alias("k")))
 
-    return F.when(mean <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), top), start, step, lambda a: a["k"]))
+    return F.when(mean <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(low + 1, top), start, step, lambda a: a["k"]))
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA) -> DataFrame:

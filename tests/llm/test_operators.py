@@ -388,6 +388,19 @@ def test_mixing_matches_sql_and_targets(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_inverts_large_means(spark):
+    us = [1e-9, 0.01, 0.3, 0.5, 0.9, 1 - 1e-9]
+    for mean in (599.5, 600.5, 746.0, 1200.0, 50000.0):
+        rows = spark.createDataFrame([(mean, u) for u in us], "m double, u double")
+        got = [r.k for r in rows.select("u", mixing.poisson(F.col("m"), F.col("u")).alias("k")).orderBy("u").collect()]
+        c, want = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(int(mean * 1.2 + 300))]), []
+        want = [int(np.searchsorted(c, u)) for u in us]
+        assert got == want, mean
+    many = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "tiny").otherwise("big").alias("source"))
+    sizes = [mixing.mix(many, {"tiny": 1.0, "big": 1.0}, seed=k, shuffle=False).where("source = 'tiny'").count() for k in range(4)]
+    assert len(set(sizes)) > 1 and all(abs(n - 1000) < 160 for n in sizes)
+
+
 # --- 9 ---
 
 
