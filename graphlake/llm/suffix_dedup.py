@@ -15,7 +15,7 @@ judged on the input.  Three passes:
 
 Documents travel once, by ``doc_id``; both later passes read that shuffle, next to what is to be known of them.  Bounds: an anchor's
 contexts reach one task as one row per map block of text and distinct context; suffix arrays are built over blocks
-of about ``BLOCK`` bytes.  Anchors whose parts exceed ``BLOCK`` are compared string by string, hashed and grouped by
+of about ``BLOCK`` bytes.  Anchors whose parts exceed ``CROWD`` are compared string by string, hashed and grouped by
 Spark, with the same result.
 
 Nulls and edges: null text is empty; matches never cross documents; a null ``doc_id`` neither loses bytes nor
