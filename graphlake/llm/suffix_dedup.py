@@ -1,22 +1,28 @@
 """Removal of byte strings that a document with a smaller id holds as well, by suffix arrays.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document of smaller ``doc_id``; strings are
-judged on the input.  Three passes:
+judged on the input.  Four passes:
 
+0. *Load.*  Anchors are counted by cell (leading bits of their hash), over all documents.  The number of buckets follows the
+   bytes of text; a cell with more contexts than a bucket should hold is hot: its contexts are spread over all buckets.
 1. *Anchors.*  The anchor of a string is its leftmost least ``Q``-byte substring by hash: equal strings have equal
    anchors at equal offsets, so strings need comparing only by anchor.  Strings in a row that share an
-   anchor make a *context*.  Contexts (hashes only, 11 bytes and a document number) meet by anchor; within a map
-   task equal ones are first reduced to the least document.  A context that a smaller document holds is gone
-   as a whole; of the rest, those whose anchor has other contexts in other documents go on.
+   anchor make a *context*.  Contexts (hashes only, 11 bytes and a document number) meet by anchor.  Equal contexts are one:
+   the least document stands for it and all others lose theirs, first within a map task's ``FLUSH`` bytes of text
+   and then in the bucket, which streams and is reduced as it grows.  Of what is left, contexts whose
+   anchor has other contexts in other documents go on (of a hot cell: all).
 2. *Suffix arrays.*  Those contexts' bytes meet by anchor.  Parts without any string that another context
-   has too are left out (by hash), equal parts count once, and a suffix array over the parts (linear grouping
-   construction, ``gsaca.py``) tells which strings are equal: neighbours with a common prefix of ``LENGTH``.
+   has too are left out (by hash), equal parts count once, and suffix arrays over the parts (linear grouping
+   construction, ``gsaca.py``) tell which strings are equal: neighbours with a common prefix of ``LENGTH``.
+   An anchor of more than ``CHUNK`` bytes, or of a hot cell, or whose parts exceed ``BLOCK``, has several suffix arrays; each
+   decides all but the least holder of a string, and those meet once more, as strings of bytes, grouped by Spark.
 3. *Removal.*  Intervals go back to their documents.
 
-Documents travel once, by ``doc_id``; both later passes read that shuffle, next to what is to be known of them.  Bounds: an anchor's
-contexts reach one task as one row per map block of text and distinct context; suffix arrays are built over blocks
-of about ``BLOCK`` bytes.  Anchors whose parts exceed ``CROWD`` are compared string by string, hashed and grouped by
-Spark, with the same result.
+Equality of *whole* contexts and parts is that of hashes (88 bits and more): copies are collapsed before suffix arrays are made.
+
+Documents travel once, by ``doc_id`` and 16 bits of the text's hash; both later passes read that shuffle, next to what is to be
+known of them.  Bounds: a task holds the contexts of one bucket (``BUCKET`` bytes on average, hot cells spread), ``CHUNK`` bytes
+of contexts spelled out, a suffix array of about ``BLOCK`` bytes; at most ``HOT`` cells are told to tasks.
 
 Nulls and edges: null text is empty; matches never cross documents; a null ``doc_id`` neither loses bytes nor
 costs others any; rows that share a ``doc_id`` don't cost each other any; texts under ``LENGTH`` bytes stay.
@@ -28,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +48,13 @@ from .gsaca import lcp_array, suffix_array
 LENGTH = 50
 Q = 16
 BLOCK = 1 << 16
-CROWD = 1 << 18
+CHUNK = 1 << 20
+BUCKET = 8 << 20
+FLUSH = 8 << 20
+HOT = 1 << 20
+#: Bytes of a context on its way to its bucket; a context stands for about 18 bytes of text.
+ROW = 24
+_SLOT = np.uint64(0xFFFF)
 _POS = np.uint64((1 << 21) - 1)
 _M40, _M48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
 
@@ -127,82 +140,166 @@ def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+@dataclass(frozen=True)
+class Spread:
+    """Which bucket a context belongs to: that of its anchor's cell, or of anchor and context where the cell is hot."""
 
+    buckets: int
+    bits: int
+    hot: np.ndarray
 
-def _contexts(buckets: int, length: int):
-    """Documents (doc_id, text) to blobs by anchor bucket."""
+    def cells(self, h: np.ndarray) -> np.ndarray:
+        return (h & _M40) >> np.uint64(40 - self.bits)
+
+    def is_hot(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(h), bool)
+        c = self.cells(h)
+        return self.hot[np.minimum(np.searchsorted(self.hot, c), len(self.hot) - 1)] == c
+
+    def of(self, h: np.ndarray, ck: np.ndarray) -> np.ndarray:
+        x = mix(self.cells(h), 17)
+        if len(self.hot):
+            x = np.where(self.is_hot(h), mix((h & _M40) * np.uint64(5) ^ (ck & _M48), 19), x)
+        return (x % np.uint64(self.buckets)).astype(np.int64)
+
+
+def _cells(spread: Spread, length: int):
+    """Documents to (cell, n): contexts by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for b in batches:
+            for _, _, data, offsets in utf8_blocks(b.column("text")):
+                c = spread.cells(anchors(data, offsets, length)[0]).astype(np.int64)
+                if len(c):
+                    n = np.bincount(c)
+                    if len(n) > len(total):
+                        total, n = n, total
+                    total[: len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    return run
 
-    def flush(held):
-        if not held:
-            return None
-        h, ck, doc = (np.concatenate(x) for x in zip(*held))
-        ids, idx = np.unique(doc, return_inverse=True)
-        bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        rows = []
-        for k, at in _split(bucket):
-            own, small = np.unique(idx[at], return_inverse=True)
-            rows.append((k, _pack(_low(h[at], 5), _low(ck[at], 6), ids[own], small.astype(np.uint32))))
-        return _blobs(rows)
+
+def spread_of(docs: DataFrame, length: int, bucket: int) -> Spread:
+    """The layout for these documents; hot cells hold more than a bucket and one in ``HOT`` of all contexts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size * ROW // 18 // bucket
+    even = Spread(buckets, min(40, 2 + int(buckets).bit_length()), np.zeros(0, np.uint64))
+    cells = docs.mapInArrow(_cells(even, length), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    top = cells.where(F.col("n") > max(bucket // ROW, size // 18 // HOT)).select("cell").toArrow().column("cell")
+    return Spread(even.buckets, even.bits, np.sort(np.asarray(top.to_numpy(), np.int64)).view(np.uint64))
+
+
+def _reduced(h: np.ndarray, ck: np.ndarray, doc: np.ndarray, slot: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Distinct contexts of their least document, in the order of anchor and context, and those that others lose."""
+    o = np.lexsort((slot, doc, ck, h))
+    h, ck, doc, slot = h[o], ck[o], doc[o], slot[o]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (ck[1:] != ck[:-1])
+    more = np.zeros(len(h), bool)
+    more[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (slot[1:] == slot[:-1])
+    gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else new
+    stay, lost = ~gone & ~more, gone & ~more
+    return (h[stay], ck[stay], doc[stay], slot[stay]), (h[lost], ck[lost], doc[lost], slot[lost])
+
+
+def _blob(h: np.ndarray, ck: np.ndarray, doc: np.ndarray, slot: np.ndarray) -> bytes:
+    """Documents are written once: most contexts of a blob share theirs with others."""
+    o = np.lexsort((slot, doc))
+    new = np.ones(len(o), bool)
+    new[1:] = (doc[o[1:]] != doc[o[:-1]]) | (slot[o[1:]] != slot[o[:-1]])
+    own = o[new]
+    small = np.empty(len(o), np.int64)
+    small[o] = np.cumsum(new) - 1
+    return _pack(doc[own], slot[own].astype("<u2"), small.astype("<u2" if len(own) <= 1 << 16 else "<u4"), _low(h, 5), _low(ck, 6))
+
+
+def _read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
+    ids, slots, small, h, ck = _unpack(blob, "<i8", "<u2", "raw", "raw", "raw")
+    small = small.view("<u2" if len(ids) <= 1 << 16 else "<u4")
+    return _high(h, 5), _high(ck, 6), ids[small], slots[small]
+
+
+def _contexts(spread: Spread, length: int, flush: int = FLUSH):
+    """Documents to blobs of contexts by bucket; buckets under 0 hold keys of contexts that are gone already."""
+
+    def packed(held, turn):
+        (h, ck, doc, slot), lost = _reduced(*(np.concatenate(x) for x in zip(*held)))
+        rows = [(k, _blob(h[at], ck[at], doc[at], slot[at])) for k, at in _split(spread.of(h, ck))]
+        if len(lost[0]):
+            rows.append((-1 - turn % spread.buckets, _pack(lost[2], lost[3].astype("<u2"), _key(lost[0], lost[1]))))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, turn = [], 0, 0
         for b in batches:
             ids, null = _ids(b)
+            slots = b.column("slot").to_numpy(zero_copy_only=False).astype(np.uint16)
             for i, j, data, offsets in utf8_blocks(b.column("text")):
                 h, _, _, _, ck, d = anchors(data, offsets, length)
                 d = d + i
                 use = ~null[d]
-                held.append((h[use], ck[use], ids[d[use]]))
+                held.append((h[use] & _M40, ck[use] & _M48, ids[d[use]], slots[d[use]]))
+                turn += int(offsets[-1]) + j - i
                 size += len(data)
-                if size > 24 << 20:
-                    yield flush(held)
+                if size > flush:
+                    yield packed(held, turn)
                     held, size = [], 0
         if held:
-            yield flush(held)
+            yield packed(held, turn)
 
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """Blobs of one bucket after the other."""
-    now, held = None, []
-    for b in batches:
-        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-            if k != now:
-                if held:
-                    yield now, held
-                now, held = k, []
-            held.append(blob)
-    if held:
-        yield now, held
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of an anchor bucket to (doc_id, key), bit 0 of the key set where bytes are wanted."""
-    for _, blobs in _grouped(batches):
-        parts = []
-        for blob in blobs:
-            h, ck, ids, small = _unpack(blob, "raw", "raw", "<i8", "<u4")
-            parts.append((_high(h, 5), _high(ck, 6), ids[small]))
-        h, ck, doc = (np.concatenate(x) for x in zip(*parts))
-        o = np.lexsort((doc, ck, h))
-        h, ck, doc = h[o], ck[o], doc[o]
+def _judge(spread: Spread, limit: int = 2 * BUCKET):
+    """Contexts of a bucket to (doc_id, slot, key), bit 0 of the key set where bytes are wanted."""
+
+    def told(h, ck, doc, slot, want=0):
+        return _told(doc, slot, _key(h, ck) | np.uint64(want))
+
+    def _told(doc, slot, key):
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(slot.astype(np.int32)), pa.array(key.view(np.int64))], ["doc_id", "slot", "key"])
+
+    def finish(held):
+        if not held:
+            return
+        (h, ck, doc, slot), lost = _reduced(*(np.concatenate(x) for x in zip(*held)))
+        if len(lost[0]):
+            yield told(*lost)
+        if not len(h):
+            return
         new_h = np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
-        new_c = new_h.copy()
-        new_c[1:] |= ck[1:] != ck[:-1]
-        fh, fc = np.flatnonzero(new_h), np.flatnonzero(new_c)
-        of_h, of_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        gone = doc > doc[fc][of_c]
-        many = (np.add.reduceat(new_c.astype(np.int64), fh) > 1) & (np.minimum.reduceat(doc, fh) != np.maximum.reduceat(doc, fh))
-        want = ~gone & many[of_h]
-        use = np.flatnonzero(gone | want)
-        if not len(use):
-            continue
-        key = _key(h[use], ck[use]) | want[use].astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(key.view(np.int64))], ["doc_id", "key"])
+        fh = np.flatnonzero(new_h)
+        several = (np.minimum.reduceat(doc, fh) != np.maximum.reduceat(doc, fh))[np.cumsum(new_h) - 1] | spread.is_hot(h)
+        if several.any():
+            yield told(h[several], ck[several], doc[several], slot[several], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, top = None, [], 0, limit
+        for b in batches:
+            for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob")):
+                blob = blob.as_py()
+                if k < 0:
+                    yield _told(*_unpack(blob, "<i8", "<u2", "<u8"))
+                    continue
+                if k != now:
+                    yield from finish(held)
+                    now, held, size, top = k, [], 0, limit
+                held.append(_read_blob(blob))
+                size += len(held[-1][0]) * ROW
+                if size > top:
+                    kept, lost = _reduced(*(np.concatenate(x) for x in zip(*held)))
+                    if len(lost[0]):
+                        yield told(*lost)
+                    held, size = [kept], len(kept[0]) * ROW
+                    top = limit + 2 * size
+        yield from finish(held)
+
+    return run
 
 
 def _listed(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -231,12 +328,19 @@ def _intervals(doc: np.ndarray, rk: np.ndarray, start: np.ndarray, end: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), none, pa.array(doc), pa.array(rk.view(np.int64)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64))], ["kind", "blob", *_CUTS])
 
 
-def _fetch(buckets: int, length: int):
+def _rows(ids: np.ndarray, slots: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of the documents by 48 bits of id and text, and its slot."""
+    th = span_hashes(prefix_sums(data), offsets[:-1], offsets[1:])
+    return (mix(ids.view(np.uint64) ^ th, 11) & ~_SLOT) | slots.astype(np.uint64)
+
+
+def _fetch(spread: Spread, length: int):
     """Documents with their keys to intervals (kind 0) and contexts' bytes (kind 1: blob, bucket in doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, null = _ids(b)
+            slots = b.column("slot").to_numpy(zero_copy_only=False)
             for i, j, data, offsets in utf8_blocks(b.column("text")):
                 told, row = _listed(b.column("keys"), i, j)
                 if not len(told):
@@ -253,8 +357,7 @@ def _fetch(buckets: int, length: int):
                 status[null[d + i]] = 0
                 if not status.any():
                     continue
-                th = span_hashes(prefix_sums(data), offsets[:-1], offsets[1:])
-                rk = mix(ids[i:j].view(np.uint64) ^ th, 11)
+                rk = _rows(ids[i:j], slots[i:j], data, offsets)
                 base = offsets[:-1]
                 doc = ids[i:j]
                 w = np.flatnonzero(status == 1)
@@ -263,17 +366,20 @@ def _fetch(buckets: int, length: int):
                 w = np.flatnonzero(status == 2)
                 if len(w):
                     rows = []
-                    for b_, x in _split(((h[w] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)):
+                    for b_, x in _split(spread.of(h[w], ck[w])):
                         x = w[x]
                         ln = e[x] + length - s[x]
-                        idx = np.repeat(s[x] - np.concatenate([[0], np.cumsum(ln)[:-1]]), ln) + np.arange(ln.sum())
-                        rows.append((b_, _pack(h[x], doc[d[x]], rk[d[x]], (s[x] - base[d[x]]).astype(np.uint32), (at[x] - s[x]).astype(np.uint8), ln.astype(np.uint8), data[idx])))
+                        rows.append((b_, _pack(h[x], doc[d[x]], rk[d[x]], (s[x] - base[d[x]]).astype(np.uint32), (at[x] - s[x]).astype(np.uint8), ln.astype(np.uint8), _gather(data, s[x], ln))))
                     none = pa.nulls(len(rows), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.int64()), none, none, none], ["kind", "blob", *_CUTS])
 
     return run
 
 
+def _gather(data: np.ndarray, begin: np.ndarray, ln: np.ndarray) -> np.ndarray:
+    return data[np.repeat(begin - np.concatenate([[0], np.cumsum(ln)[:-1]]), ln) + np.arange(ln.sum())]
+
+
 def least_holders(parts: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
     """For each string start of each part, the least owner of a part that holds an equal string, by a suffix array."""
     text: list[int] = []
@@ -300,8 +406,118 @@ def least_holders(parts: list[bytes], owners: np.ndarray, length: int) -> list[n
     return [out[b : b + len(p) - length + 1] for b, p in zip(begin, parts)]
 
 
-def _resolve(length: int, block: int = BLOCK, crowd: int = CROWD):
-    """Contexts' bytes of an anchor bucket to intervals (kind 0), or strings of crowded anchors (kind 1); intervals pass."""
+@dataclass
+class _Parts:
+    """Contexts spelled out: of whole anchors, or (``open``) of an anchor that other groups hold contexts of as well."""
+
+    h: np.ndarray
+    doc: np.ndarray
+    rk: np.ndarray
+    s: np.ndarray
+    rel: np.ndarray
+    ln: np.ndarray
+    raw: np.ndarray
+    open: bool
+
+    def solve(self, length: int, block: int) -> Iterator[pa.RecordBatch]:
+        h, doc, rk, s, rel, ln, raw = self.h, self.doc, self.rk, self.s, self.rel, self.ln, self.raw
+        begin = np.concatenate([[0], np.cumsum(ln)[:-1]])
+        sums = prefix_sums(raw)
+        if self.open:
+            c, k = np.arange(len(h)), np.zeros(len(h), np.int64)
+            a, z = begin, begin + ln
+        else:
+            c, k, a, z = self._shared(begin, sums, length)
+        if not len(c):
+            return
+        # Equal parts: the least document stands for them, all others lose theirs whole.
+        ph = mix(span_hashes(sums, a, z) ^ mix(h[c] + (rel[c] - k).astype(np.uint64), 13))
+        o = np.lexsort((doc[c], ph, h[c]))
+        ph, c, a, z, k0 = ph[o], c[o], a[o], z[o], k[o]
+        newp = np.ones(len(o), bool)
+        newp[1:] = (ph[1:] != ph[:-1]) | (h[c[1:]] != h[c[:-1]])
+        fp = np.flatnonzero(newp)
+        of = np.cumsum(newp) - 1
+        holder = doc[c]
+        lead = holder[fp][of]
+        cut: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # row, from, to (in the context)
+        w = np.flatnonzero(holder > lead)
+        cut.append((c[w], k0[w], k0[w] + z[w] - a[w]))
+        # Different parts, anchor by anchor, in suffix arrays of about a block.
+        hp = h[c[fp]]
+        newh = np.ones(len(fp), bool)
+        newh[1:] = hp[1:] != hp[:-1]
+        first = np.searchsorted(of, np.arange(len(fp) + 1))
+        size = z[fp] - a[fp]
+        for p, opened in self._arrays(np.split(np.arange(len(fp)), np.flatnonzero(newh)[1:]), size, block):
+            least = least_holders([raw[a[fp[x]] : z[fp[x]]].tobytes() for x in p], holder[fp[p]], length)
+            strings = []
+            for x, m in zip(p, least):
+                mine = holder[fp[x]]
+                gone = np.concatenate([[0], (m < mine).view(np.int8), [0]])
+                e = np.flatnonzero(np.diff(gone))
+                lo, hi = e[::2], e[1::2]
+                for row in range(first[x], first[x + 1]):  # rows of one document come first and share its part
+                    if holder[row] != mine:
+                        break
+                    if len(lo):
+                        cut.append((np.full(len(lo), c[row]), k0[row] + lo, k0[row] + hi - 1 + length))
+                    if opened:
+                        strings.append((row, np.flatnonzero(m == mine)))
+            if strings:
+                row = np.repeat([r for r, _ in strings], [len(i) for _, i in strings])
+                i = np.concatenate([i for _, i in strings])
+                y, g, f = c[row], a[row] + i, s[c[row]] + k0[row] + i
+                some = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(i), [None, pa.py_buffer(raw[g[:, None] + np.arange(length)].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), some.cast(pa.binary()), pa.array(doc[y]), pa.array(rk[y].view(np.int64)), pa.array(f), pa.array(f + length)], ["kind", "blob", *_CUTS])
+        row, lo, hi = (np.concatenate(x) for x in zip(*cut))
+        if len(row):
+            yield _intervals(doc[row], rk[row], s[row] + lo, s[row] + hi)
+
+    def _shared(self, begin: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Context, offset in it, begin and end of the parts whose strings documents other than their own hold as well."""
+        nw = self.ln - length + 1
+        ctx = np.repeat(np.arange(len(self.h)), nw)
+        k = np.arange(nw.sum()) - np.repeat(np.concatenate([[0], np.cumsum(nw)[:-1]]), nw)
+        at = begin[ctx] + k
+        wh = span_hashes(sums, at, at + length) ^ mix(self.h[ctx] + (self.rel[ctx] - k).astype(np.uint64), 9)
+        o = np.lexsort((self.doc[ctx], wh))
+        new = np.ones(len(o), bool)
+        new[1:] = wh[o[1:]] != wh[o[:-1]]
+        f = np.flatnonzero(new)
+        d = self.doc[ctx][o]
+        shared = np.zeros(len(wh), bool)
+        shared[o] = (d[f] != d[np.append(f[1:], len(d)) - 1])[np.cumsum(new) - 1]
+        same = ctx[1:] == ctx[:-1]
+        first, last = shared.copy(), shared.copy()
+        first[1:] &= ~(shared[:-1] & same)
+        last[:-1] &= ~(shared[1:] & same)
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        return ctx[first], k[first], at[first], at[last] + length
+
+    def _arrays(self, anchors_: list[np.ndarray], size: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, bool]]:
+        """Parts that one suffix array takes, and whether their strings have to meet those of others still."""
+        todo: list[np.ndarray] = []
+        held = 0
+        for m in anchors_:
+            total = np.cumsum(size[m])
+            if self.open or total[-1] > 4 * block:
+                for part in np.split(m, np.flatnonzero(np.diff(total // block)) + 1):
+                    yield part, True
+                continue
+            if len(m) < 2:
+                continue
+            todo.append(m)
+            held += int(total[-1])
+            if held > block:
+                yield np.concatenate(todo), False
+                todo, held = [], 0
+        if todo:
+            yield np.concatenate(todo), False
+
+
+def _resolve(spread: Spread, length: int, block: int = BLOCK, chunk: int = CHUNK):
+    """Contexts' bytes of a bucket to intervals (kind 0), or strings (kind 1) to meet those of other suffix arrays; intervals pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _sorted_out(batches):
@@ -313,98 +529,41 @@ def _resolve(length: int, block: int = BLOCK, crowd: int = CROWD):
                 h, doc, rk, s, rel, ln, raw = _unpack(blob, "<u8", "<i8", "<u8", "<u4", "u1", "u1", "raw")
                 parts.append((h, doc, rk, s.astype(np.int64), rel.astype(np.int64), ln.astype(np.int64), raw))
             h, doc, rk, s, rel, ln, raw = (np.concatenate(x) for x in zip(*parts))
+            del parts
             begin = np.concatenate([[0], np.cumsum(ln)[:-1]])
-            sums = prefix_sums(raw)
-            nw = ln - length + 1
-            ctx = np.repeat(np.arange(len(h)), nw)
-            k = np.arange(nw.sum()) - np.repeat(np.concatenate([[0], np.cumsum(nw)[:-1]]), nw)
-            at = begin[ctx] + k
-            wh = span_hashes(sums, at, at + length) ^ mix(h[ctx] + (rel[ctx] - k).astype(np.uint64), 9)
-            # Strings that documents other than their own hold as well.
-            o = np.lexsort((doc[ctx], wh))
+            o = np.argsort(h, kind="stable")
             new = np.ones(len(o), bool)
-            new[1:] = wh[o[1:]] != wh[o[:-1]]
-            f = np.flatnonzero(new)
-            if not len(f):
-                continue
-            d = doc[ctx][o]
-            several = d[f] != d[np.append(f[1:], len(d)) - 1]
-            shared = np.zeros(len(wh), bool)
-            shared[o] = several[np.cumsum(new) - 1]
-            edge = shared.copy()
-            edge[1:] &= ~(shared[:-1] & (ctx[1:] == ctx[:-1]))
-            first = np.flatnonzero(edge)
-            if not len(first):
-                continue
-            edge = shared.copy()
-            edge[:-1] &= ~(shared[1:] & (ctx[1:] == ctx[:-1]))
-            last = np.flatnonzero(edge)
-            c = ctx[first]
-            a, z = at[first], at[last] + length
-            ph = mix(span_hashes(sums, a, z) ^ mix(h[c] + (rel[c] - k[first]).astype(np.uint64), 13))
-            # Equal parts: the least document stands for them, all others lose theirs whole.
-            o = np.lexsort((doc[c], ph, h[c]))
-            ph, c, a, z, k0 = ph[o], c[o], a[o], z[o], k[first][o]
-            newp = np.ones(len(o), bool)
-            newp[1:] = (ph[1:] != ph[:-1]) | (h[c[1:]] != h[c[:-1]])
-            fp = np.flatnonzero(newp)
-            of = np.cumsum(newp) - 1
-            holder = doc[c]
-            lead = holder[fp][of]
-            cut: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # row, from, to (in the context)
-            w = np.flatnonzero(holder > lead)
-            cut.append((c[w], k0[w], k0[w] + z[w] - a[w]))
-            # Different parts of one anchor.
-            hp = h[c[fp]]
-            newh = np.ones(len(fp), bool)
-            newh[1:] = hp[1:] != hp[:-1]
-            members = np.split(np.arange(len(fp)), np.flatnonzero(newh)[1:])
-            todo: list[np.ndarray] = []
-            crowded: list[np.ndarray] = []
-            size = 0
-
-            def solve(groups):
-                p = np.concatenate(groups)
-                texts = [raw[a[fp[x]] : z[fp[x]]].tobytes() for x in p]
-                least = least_holders(texts, holder[fp[p]], length)
-                leads = np.flatnonzero((holder == lead) & np.isin(of, p))
-                where = {int(x): m for x, m in zip(p, least)}
-                for row in leads:
-                    m = where[int(of[row])] < holder[row]
-                    if m.any():
-                        e = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
-                        lo, hi = e[::2], e[1::2]
-                        cut.append((np.full(len(lo), c[row]), k0[row] + lo, k0[row] + hi - 1 + length))
-
-            for m in members:
-                if len(m) < 2:
-                    continue
-                total = int((z[fp[m]] - a[fp[m]]).sum())
-                if total > crowd:
-                    crowded.append(m)
-                    continue
-                todo.append(m)
-                size += total
-                if size > block:
-                    solve(todo)
-                    todo, size = [], 0
-            if todo:
-                solve(todo)
-            row, lo, hi = (np.concatenate(x) for x in zip(*cut))
-            yield _intervals(doc[row], rk[row], s[row] + lo, s[row] + hi)
-            for m in crowded:
-                rows = []
-                for x in np.flatnonzero((holder == lead) & np.isin(of, m)):
-                    y = c[x]
-                    for i in range(k0[x], k0[x] + z[x] - a[x] - length + 1):
-                        g = begin[y] + i
-                        rows.append((hashlib.md5(h[y].tobytes() + raw[g : g + length].tobytes()).digest(), int(doc[y]), int(rk[y].view(np.int64)), int(s[y] + i), int(s[y] + i + length)))
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(rows), pa.int32()), pa.array(cols[0], pa.binary()), *(pa.array(x, pa.int64()) for x in cols[1:])], ["kind", "blob", *_CUTS])
+            new[1:] = h[o[1:]] != h[o[:-1]]
+            hot = spread.is_hot(h)
+            for x, opened in _chunks(o, np.flatnonzero(new), hot[o], ln[o], chunk):
+                yield from _Parts(h[x], doc[x], rk[x], s[x], rel[x], ln[x], _gather(raw, begin[x], ln[x]), opened).solve(length, block)
 
     return run
 
 
+def _chunks(o: np.ndarray, first: np.ndarray, hot: np.ndarray, ln: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Contexts in the order of anchors, in runs of about ``chunk`` bytes: whole anchors, or stretches of one that is larger or hot."""
+    end = np.append(first[1:], len(o))
+    sums = np.concatenate([[0], np.cumsum(ln)])
+    start, open_at = None, 0
+    for f, e in zip(first, end):
+        size = sums[e] - sums[f]
+        if hot[f] or size > chunk:
+            if start is not None:
+                yield o[start:f], False
+                start = None
+            for part in np.split(np.arange(f, e), np.flatnonzero(np.diff((sums[f + 1 : e + 1] - sums[f]) // chunk)) + 1):
+                yield o[part], True
+            continue
+        if start is None:
+            start, open_at = f, sums[f]
+        if sums[e] - open_at > chunk:
+            yield o[start:e], False
+            start = None
+    if start is not None:
+        yield o[start : end[-1]], False
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | list[bytes]]:
     """Rows of kind 0 as they come, blobs of kind 1 by bucket (rows arrive in the order of kind and bucket)."""
     now, held = None, []
@@ -424,7 +583,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch |
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Crowded anchors' strings in the order of string and document: all but the least document's become intervals."""
+    """Strings in the order of string and document: all but the least document's become intervals."""
     string, least = None, None
     for b in batches:
         gone = b.column("kind").to_numpy(zero_copy_only=False) == 0
@@ -440,9 +599,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their intervals to documents with what is left."""
     for b in batches:
         ids, null = _ids(b)
+        slots = b.column("slot").to_numpy(zero_copy_only=False)
         for i, j, data, offsets in utf8_blocks(b.column("text")):
             n = np.diff(offsets)
-            mine = mix(ids[i:j].view(np.uint64) ^ span_hashes(prefix_sums(data), offsets[:-1], offsets[1:]), 11).view(np.int64)
+            mine = _rows(ids[i:j], slots[i:j], data, offsets).view(np.int64)
             told, row = _listed(b.column("cuts"), i, j)
             rk, f, t = (np.asarray(told.field(k), np.int64) for k in range(3)) if len(row) else (np.zeros(0, np.int64),) * 3
             use = (rk == mine[row]) & ~null[i:j][row]
@@ -472,23 +632,25 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], sha], [*b.schema.names[:4], "kept_sha256"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, digest: bool = False, bucket: int = BUCKET, chunk: int = CHUNK, block: int = BLOCK, flush: int = FLUSH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): ``kept`` are the remaining bytes (digest: their SHA-256)."""
     if length < 2 * Q or length > 200:
         raise ValueError("length must be between 32 and 200")
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = docs.mapInArrow(_contexts(buckets, length), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    keys = met.mapInArrow(_judge, "doc_id long, key long").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    slot = F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
+    spread = spread_of(docs, length, bucket)
+    met = docs.mapInArrow(_contexts(spread, length, flush), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    row = ["doc_id", "slot"]
+    keys = met.mapInArrow(_judge(spread, 2 * bucket), "doc_id long, slot int, key long").groupBy(*row).agg(F.collect_set("key").alias("keys"))
     cut = "kind int, blob binary, doc_id long, rk long, start long, end long"
     # Both joins find the documents in the same shuffle (Spark reuses the exchange).
-    fetched = docs.join(keys.hint("merge"), "doc_id", "left").mapInArrow(_fetch(buckets, length), cut)
-    solved = fetched.repartition("kind", "doc_id").sortWithinPartitions("kind", "doc_id").mapInArrow(_resolve(length), cut)
-    own = F.coalesce(F.xxhash64("blob"), F.xxhash64("doc_id"))
+    fetched = docs.join(keys.hint("merge"), row, "left").mapInArrow(_fetch(spread, length), cut)
+    solved = fetched.repartition("kind", "doc_id").sortWithinPartitions("kind", "doc_id").mapInArrow(_resolve(spread, length, block, chunk), cut)
+    own = F.when(F.col("blob").isNull(), F.xxhash64("doc_id", "rk")).otherwise(F.xxhash64("blob"))
     settled = solved.repartition(own).sortWithinPartitions("kind", "blob", "doc_id").mapInArrow(_settle, "doc_id long, rk long, start long, end long")
-    cuts = settled.groupBy("doc_id").agg(F.collect_list(F.struct("rk", "start", "end")).alias("cuts"))
+    cuts = settled.groupBy("doc_id", F.col("rk").bitwiseAND(0xFFFF).cast("int").alias("slot")).agg(F.collect_list(F.struct("rk", "start", "end")).alias("cuts"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, "
-    whole = docs.join(cuts.hint("merge"), "doc_id", "left")
+    whole = docs.join(cuts.hint("merge"), row, "left")
     return whole.mapInArrow(_digest if digest else _remove, out + ("kept_sha256 string" if digest else "kept binary"))
 
 

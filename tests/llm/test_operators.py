@@ -345,7 +345,7 @@ def suffix_brute(rows, n=50):
     return sorted(out, key=repr)
 
 
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
+def test_suffix_dedup_matches_brute_force(spark):
     ship(spark)
     rows = corpus(6, 150)
     phrase = "a passage that stands in very many of these documents, each time amid other words "
@@ -355,8 +355,9 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     got = sorted((tuple(r) for r in suffix_dedup.query(docs).collect()), key=repr)
     assert got == suffix_brute(rows)
-    monkeypatch.setattr(suffix_dedup._resolve, "__defaults__", (1 << 10, 300))  # crowded anchors take the other way
-    assert sorted((tuple(r) for r in suffix_dedup.query(docs).collect()), key=repr) == got
+    for small in ({"block": 300}, {"chunk": 500, "block": 200}, {"bucket": 1 << 11, "flush": 3000}, {"bucket": 400, "chunk": 600, "block": 150, "flush": 500}):  # anchors in several arrays, hot cells
+        assert sorted((tuple(r) for r in suffix_dedup.dedup(docs, digest=True, **small).collect()), key=repr) == got, small
+    assert len(suffix_dedup.spread_of(docs.withColumn("slot", F.lit(0)), 50, 400).hot)
     kept = {r.doc_id: bytes(r.kept) for r in suffix_dedup.dedup(docs.limit(3)).collect()}
     assert len(kept) == 3 and suffix_dedup.query(docs.limit(0)).count() == 0
 
