@@ -72,6 +72,7 @@ class Value:
     type: T.DataType | None
     const: Any = None
     items: tuple[Value, ...] | None = None
+    never_null: bool = False
 
     @property
     def is_const(self) -> bool:
@@ -138,10 +139,22 @@ def number(v: Value) -> Column | None:
 
 
 def strict_number(v: Value, where: str) -> Column:
-    """For arithmetic: what isn't a number is an error."""
-    error = F.raise_error(F.concat(F.lit(f"Value of operand is not a number ({where}="), printed(v), F.lit(")")))
+    """For arithmetic: what isn't a number is an error.
+
+    The operand stands once in the plan wherever it may be nested: a result of arithmetic is a number as it is, and of
+    numeric columns only null fails, whose printed form is known.
+    """
     n = number(v)
-    return error.cast("double") if n is None else F.coalesce(n.cast("double"), error.cast("double"))
+    if n is not None and (v.is_const or v.never_null):
+        return n.cast("double")
+    shown = F.lit(NIL) if v.numeric else printed(v)
+    error = F.raise_error(F.concat(F.lit(f"Value of operand is not a number ({where}="), shown, F.lit(")"))).cast("double")
+    return error if n is None else F.coalesce(n.cast("double"), error)
+
+
+def computed(c: Column, t: T.DataType) -> Value:
+    """A result of arithmetic, which is never null."""
+    return Value(c, t, never_null=True)
 
 
 @dataclass(frozen=True)
@@ -189,11 +202,17 @@ def compare(op: str, a: Value, b: Value) -> Test:
     if sure_a and sure_b:
         if a.is_const or b.is_const:
             nil = _PY[op](show(a.const), NIL) if a.is_const else _PY[op](NIL, show(b.const))
+            # Written so that the scan takes all of it: no function around the column, NaN (the greatest to Spark) cut off by a bound.
             raw = _op(op, na, nb)
             other = b if a.is_const else a
-            if isinstance(other.type, (T.DoubleType, T.FloatType)) and op != "<" and op != "<=":
-                raw = raw & ~F.isnan(other.col)
-            return Test(F.coalesce(raw, F.lit(True))) if nil else Test(raw, total=False)
+            if isinstance(other.type, (T.DoubleType, T.FloatType)) and op in (("<", "<=") if a.is_const else (">", ">=")):
+                raw = raw & (other.col <= F.lit(math.inf).cast(other.type))
+            k = parse_number(show(a.const if a.is_const else b.const))
+            if k is not None and math.isnan(k):
+                raw = F.lit(False)
+            if other.never_null:
+                return Test(raw)
+            return Test(raw | other.col.isNull()) if nil else Test(raw, total=False)
         if op == "=":
             return Test(na.eqNullSafe(nb))
     return Test(F.coalesce(_op(op, na, nb), strings()))

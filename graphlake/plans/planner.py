@@ -18,7 +18,7 @@ from ..functions import values as V
 from ..functions.dates import RFC3339, parse_date
 from ..operators.results import Result, unique
 from ..operators.traverse import neighbours, zigzag
-from ..sources.graph import ENDS, Graph
+from ..sources.graph import ENDS, Edges, Graph
 from .syntax import Node, QueryError, parse, pretty
 
 
@@ -34,6 +34,7 @@ class Step:
     edge_attrs: set[str] = field(default_factory=set)
     types: dict[str, T.DataType] = field(default_factory=dict)
     token: object = None
+    held: Edges | None = None  # the one edge set that fits, if the parent's rows hold its foreign key
 
     @property
     def kind(self) -> str:
@@ -103,6 +104,9 @@ class Planner:
         found = self.graph.match(parent.kinds, n.value)
         s.kinds = sorted({e.spec(i)[3] for e, i in found} | {e.spec(2)[3] for e, i in found if e.symmetric})
         s.edge_kinds = sorted({e.kind for e, _ in found})
+        if len(parent.kinds) == 1 and len(found) == 1 and found[0][0].owner == found[0][1] and found[0][0].fk and not found[0][0].symmetric:
+            s.held = found[0][0]
+            parent.node_attrs.add(s.held.fk)
         for c in n.children:
             if c.name == "where":
                 if s.children:
@@ -235,17 +239,16 @@ class Planner:
             return self.function(s, n)
         if n.name in ("un+", "un-"):
             c = V.strict_number(self.value(s, n.children[0]), pretty(n.children[0]))
-            return V.column(-c if n.name == "un-" else c, T.DoubleType())
+            return V.computed(-c if n.name == "un-" else c, T.DoubleType())
         if n.name in ("+", "-", "*", "/", "%", "//"):
+            # Each operand is written once (the dividend of / twice), so that plans grow with the text of the query.
             a, b = (V.strict_number(self.value(s, c), pretty(c)) for c in n.children)
             if n.name in ("%", "//"):
-                x, y = a.cast("bigint"), b.cast("bigint")
-                whole = F.when(y == 0, F.raise_error(F.lit("integer divide by zero")).cast("bigint")).otherwise(x % F.when(y != 0, y) if n.name == "%" else _div(x, F.when(y != 0, y)))
-                return V.column(whole, T.LongType())
+                by_zero = F.raise_error(F.lit("integer divide by zero")).cast("bigint")
+                return V.computed(F.coalesce(F.call_function("try_mod", a.cast("bigint"), b.cast("bigint")) if n.name == "%" else _div(a.cast("bigint"), b.cast("bigint")), by_zero), T.LongType())
             if n.name == "/":
-                inf = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).otherwise(float("-inf"))
-                return V.column(F.when(b == 0, inf).otherwise(a / F.when(b != 0, b)), T.DoubleType())
-            return V.column({"+": a + b, "-": a - b, "*": a * b}[n.name], T.DoubleType())
+                return V.computed(F.coalesce(F.try_divide(a, b), a * F.lit(float("inf"))), T.DoubleType())
+            return V.computed({"+": a + b, "-": a - b, "*": a * b}[n.name], T.DoubleType())
         return V.column(self.test(s, n).sure, T.BooleanType())
 
     def function(self, s: Step, n: Node) -> V.Value:
@@ -441,10 +444,11 @@ class Planner:
         row = f"__row{s.number}"
         df = df.withColumn(row, self.row_id(df))
         siblings, orders = [], []
-        keys = df.select(row, *[F.col(f"`{c}`") for c in (s.col("n", "key"), s.col("n", "kind"))])
+        ends = [s.col("n", "key"), s.col("n", "kind"), *dict.fromkeys(s.col("n", c.held.fk) for c in s.children if c.held and c.held.fk != "key")]
+        keys = df.select(row, *[F.col(f"`{c}`") for c in ends])
         for c in s.children:
             sub = self.joined(keys, s, c, False)
-            sub = sub.drop(s.col("n", "key"), s.col("n", "kind"))
+            sub = sub.drop(*ends)
             below = self.below(c)
             orders.append([F.col(f"`{x}`") for b in below for x in (f"s{b.number}_spec", f"s{b.number}_e_key") if x in sub.columns])
             siblings.append(sub)
@@ -469,6 +473,8 @@ class Planner:
             for x in c.children:
                 out = self.joined(out, c, x, outer)
             return out
+        if c.held is not None and not (outer and c.where):
+            return self.expand(self.followed(df, s, c, outer), c)
         near = neighbours(self.graph, found, c.node_attrs, c.edge_attrs, tag, several)
         c.types = {f.name: f.dataType for f in near.schema.fields}
         near = self.filtered(near, c)
@@ -476,6 +482,26 @@ class Planner:
         out = df.join(near, self.on(df, s, near, c, several), "left" if outer else "inner").drop(*gone)
         return self.expand(out, c)
 
+    def followed(self, df: DataFrame, s: Step, c: Step, outer: bool) -> DataFrame:
+        """A step along a foreign key that the frontier's own rows hold: one join with the targets, or none."""
+        e, tag, target = c.held, f"s{c.number}", c.kinds[0]
+        fk = F.col(f"`{s.col('n', e.fk)}`")
+        df = df if outer else df.where(fk.isNotNull())
+        have = {f.name for f in self.graph.nodes[target].schema.fields} if target in self.graph.nodes else set()
+        want = sorted(a for a in c.node_attrs if a not in ("key", "kind"))
+        there = [a for a in want if a in have]
+        known = lambda x, t="string": F.when(fk.isNotNull(), x).otherwise(F.lit(None).cast(t)) if outer else x
+        own = F.concat(F.lit(e.prefix), F.col(f"`{s.col('n', 'key')}`").cast("string"))
+        edge = {"spec": F.lit(":".join(e.spec(e.owner))), "e_key": own, "e_kind": F.lit(e.kind), "n_kind": F.lit(target)}
+        out = df.withColumns({f"{tag}_{k}": known(v) for k, v in edge.items()} | {f"{tag}_n_key": fk} | {f"{tag}_e_{a}": F.lit(None).cast("string") for a in c.edge_attrs if a not in ("key", "kind")})
+        if there:
+            node = self.graph.nodes[target].select(F.col("key").alias("__k"), *[F.col(f"`{a}`").alias(f"{tag}_n_{a}") for a in there])
+            same = fk == F.col("__k") if df.schema[s.col("n", e.fk)].dataType == node.schema["__k"].dataType else fk.cast("string") == F.col("__k").cast("string")
+            out = out.join(node, same, "left").drop("__k")
+        out = out.withColumns({f"{tag}_n_{a}": F.lit(None).cast("string") for a in want if a not in have})
+        c.types = {f.name: f.dataType for f in out.schema.fields if f.name.startswith(f"{tag}_")}
+        return self.filtered(out, c)
+
     # --- with ---
 
     def finish(self, df: DataFrame, shown: list[Shown], names: list[str], order: list[Column]) -> DataFrame:
@@ -510,7 +536,8 @@ class Planner:
 
 
 def _div(x: Column, y: Column) -> Column:
-    return ((x - x % y) / y).cast("bigint")
+    """Whole quotient towards zero, null where ``y`` is 0."""
+    return F.call_function("div", x, F.nullif(y, F.lit(0).cast("bigint")))
 
 
 def _key_in(nodes: DataFrame, keys: list[str]) -> Column:

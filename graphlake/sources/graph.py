@@ -26,7 +26,8 @@ class Edges:
 
     ``df``: key, end1key, end2key and attributes.  ``owner`` (1 or 2) says that every edge is a row of that end's
     node table (a foreign key): ``df`` then has the node's attributes as ``n_<attr>``, and reaching that end
-    needs no join with its nodes.
+    needs no join with its nodes.  ``fk`` is the column of the owner's node table that holds the other end's key, and
+    ``prefix`` what an edge's key has in front of the owner's key: leaving from the owner then needs no edge table.
     """
 
     kind: str
@@ -36,6 +37,8 @@ class Edges:
     role2: str
     df: DataFrame
     owner: int = 0
+    fk: str = ""
+    prefix: str = ""
     cascading: tuple[bool, bool] = (False, False)
     cascadinglast: tuple[bool, bool] = (False, False)
 
@@ -115,6 +118,9 @@ class Graph:
         return d if attrs is None else d.select(*[F.col(f"`{a}`") if a in d.columns else F.lit(None).cast("string").alias(a) for a in attrs])
 
     def fetch_edge(self, kind: str, key: str) -> DataFrame:
+        """The edge with all its end attributes, whatever its ends are; no row if there is none."""
+        if kind not in self.edge_kinds():
+            raise ValueError(f"Unknown edge kind: {kind}")
         return _union([flat_edges(e).where(F.col("key").cast("string") == key) for e in self.edges if e.kind == kind])
 
     def node_specs(self, kind: str, key: str) -> DataFrame:
@@ -125,6 +131,27 @@ class Graph:
                 parts.append(e.df.where(F.col(ENDS[side - 1]).cast("string") == key).select(F.lit(":".join(e.spec(side))).alias("spec")))
         return _union(parts).distinct().orderBy("spec") if parts else self.spark.createDataFrame([], "spec string")
 
+    def keys(self, kind: str) -> DataFrame:
+        """All keys of a kind; a kind never stored has none."""
+        if kind not in self.nodes:
+            return self.spark.createDataFrame([], "key string")
+        return self.nodes[kind].select("key")
+
+    def stats(self) -> DataFrame:
+        """(item, kind, name, n): nodes and edges by kind, values by attribute, edges by full spec and source kind; one aggregate a table."""
+        parts = []
+        for kind, d in self.nodes.items():
+            attrs = [a for a in d.columns if a != "kind"]
+            counts = d.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{a}`")).alias(f"a_{a}") for a in attrs])
+            rows = [F.struct(F.lit("node").alias("item"), F.lit("").alias("name"), F.col("n"))]
+            rows += [F.struct(F.lit("attribute").alias("item"), F.lit(a).alias("name"), F.col(f"`a_{a}`").alias("n")) for a in attrs]
+            parts.append(counts.select(F.lit(kind).alias("kind"), F.explode(F.array(*rows)).alias("x")).select("x.item", "kind", "x.name", "x.n"))
+        for e in self.edges:
+            rows = [F.struct(F.lit("edge").alias("item"), F.lit(e.kind).alias("kind"), F.lit("").alias("name"))]
+            rows += [F.struct(F.lit("spec").alias("item"), F.lit((e.kind1, e.kind2)[i - 1]).alias("kind"), F.lit(":".join(e.spec(i))).alias("name")) for i in ((1,) if e.symmetric else (1, 2))]
+            parts.append(e.df.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*rows)).alias("x"), "n").select("x.item", "x.kind", "x.name", "n"))
+        return _union(parts).groupBy("item", "kind", "name").agg(F.sum("n").alias("n"))
+
     def with_(self, **changes) -> Graph:
         return replace(self, **changes)
 
@@ -160,7 +187,7 @@ def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict], partiti
         flags = tuple(bool(e.get(f"end{i}{w}")) for w in ("cascading", "cascadinglast") for i in (1, 2))
         ends = (e["kind"], e["end1kind"], e["end1role"], e["end2kind"], e["end2role"], flags)
         groups.setdefault(ends, []).append({k: v for k, v in e.items() if k in ENDS or not k.startswith(("end1", "end2")) and k != "kind"})
-    sets = tuple(Edges(k[0], k[1], k[2], k[3], k[4], frame(spark, rows), 0, k[5][:2], k[5][2:]) for k, rows in groups.items())
+    sets = tuple(Edges(k[0], k[1], k[2], k[3], k[4], frame(spark, rows), cascading=k[5][:2], cascadinglast=k[5][2:]) for k, rows in groups.items())
     return Graph(spark, {k: frame(spark, rows) for k, rows in kinds.items()}, sets, partition)
 
 
