@@ -6,6 +6,9 @@ underscore belong to words.  Positions count from 1.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +90,116 @@ def lookup_value(df: DataFrame, attr: str | None, value: str) -> DataFrame:
     return texts(df, attr).where(F.lower("text") == value.lower()).select("key").distinct()
 
 
+def edge_texts(graph: Graph, kind: str) -> DataFrame:
+    """An edge kind as a table to search: key and attributes without those of the ends."""
+    parts = [e.df.select("key", *[F.col(f"`{a}`") for a in e.attrs if a != "key"]) for e in graph.edges if e.kind == kind]
+    if not parts:
+        raise ValueError(f"Unknown edge kind: {kind}")
+    out = parts[0].withColumn("key", F.col("key").cast("string"))
+    for p in parts[1:]:
+        out = out.unionByName(p.withColumn("key", F.col("key").cast("string")), allowMissingColumns=True)
+    return out
+
+
+class StoredIndex:
+    """A full-text index in files: words with positions and hashes of whole values, bucketed by word.
+
+    ``part`` is the bucket of a word (or of a value's md5), a folder of its own, so a lookup reads one bucket and, in it, the row
+    groups whose statistics admit the word (rows are sorted by it).  A change is a table of the keys concerned and one
+    of their new entries; a lookup leaves out what later changes took back, and ``compact`` makes one table of all again.
+    """
+
+    def __init__(self, spark, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._path, self._fs = jvm_path, jvm_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        at = self._path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
+
+    def _entries(self, rows: DataFrame) -> DataFrame:
+        t = rows.select("kind", "key", "attr", "text")
+        words = t.select("kind", "key", "attr", F.posexplode(word_array(F.col("text"))).alias("p", "word")).groupBy("kind", "key", "attr", "word").agg(F.sort_array(F.collect_list((F.col("p") + 1).cast("long"))).alias("positions"))
+        values = t.select("kind", "key", "attr", F.concat(F.lit("\x00"), F.md5(F.lower("text"))).alias("word"), F.array().cast("array<long>").alias("positions"))
+        return words.unionByName(values).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int"))
+
+    def _put(self, entries: DataFrame, keys: DataFrame | None) -> None:
+        """A version is written aside and appears by a rename."""
+        aside, version = f"{self.path}/_aside-{uuid.uuid4().hex}", (self._versions() or [-1])[-1] + 1
+        entries.repartition("part", "word").sortWithinPartitions("part", "word", "kind", "key").write.partitionBy("part").parquet(f"{aside}/entries")
+        if keys is not None:
+            keys.write.parquet(f"{aside}/keys")
+        self._fs.rename(self._path(aside), self._path(f"{self.path}/v{version:06d}"))
+
+    def build(self, tables: dict[str, DataFrame]) -> StoredIndex:
+        """Index all attributes of tables by kind."""
+        out = None
+        for kind, df in tables.items():
+            t = texts(df).select(F.lit(kind).alias("kind"), "key", "attr", "text")
+            out = t if out is None else out.unionByName(t)
+        self._put(self._entries(out), None)
+        return self
+
+    def change(self, kind: str, rows: DataFrame, removed: DataFrame | None = None) -> None:
+        """New states of some nodes (or edges) of a kind, and keys of removed ones."""
+        keys = rows.select(F.col("key").cast("string").alias("key"))
+        if removed is not None:
+            keys = keys.unionByName(removed.select(F.col("key").cast("string").alias("key")))
+        self._put(self._entries(texts(rows).select(F.lit(kind).alias("kind"), "key", "attr", "text")), keys.select(F.lit(kind).alias("kind"), "key").distinct())
+
+    def _read(self, what=None) -> DataFrame:
+        """Entries that hold, of all words or where ``what`` holds."""
+        versions, out = self._versions(), None
+        changed = {}
+        for v in versions:
+            at = f"{self.path}/v{v:06d}"
+            if self._fs.exists(self._path(f"{at}/keys")):
+                changed[v] = self.spark.read.parquet(f"{at}/keys").select(F.col("kind").alias("__kind"), F.col("key").alias("__key"))
+        for v in versions:
+            d = self.spark.read.schema("kind string, key string, attr string, word string, positions array<long>, part int").parquet(f"{self.path}/v{v:06d}/entries")
+            d = d if what is None else d.where(what)
+            later = None
+            for w, k in changed.items():
+                if w > v:
+                    later = k if later is None else later.unionByName(k)
+            if later is not None:
+                d = d.join(later, (F.col("kind") == F.col("__kind")) & (F.col("key") == F.col("__key")), "left_anti")
+            out = d if out is None else out.unionByName(d)
+        return out
+
+    def compact(self) -> None:
+        """All that holds as one version; older ones go."""
+        old = self._versions()
+        self._put(self._read().drop("part").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int")), None)
+        for v in old:
+            self._fs.delete(self._path(f"{self.path}/v{v:06d}"), True)
+
+    def _word(self, word: str) -> DataFrame:
+        part = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(word)), F.lit(self.buckets)).cast("int")).first()[0]
+        return self._read((F.col("part") == part) & (F.col("word") == word))
+
+    def lookup_word(self, kind: str, attr: str, word: str) -> DataFrame:
+        """(key, positions)"""
+        return self._word(word.lower()).where((F.col("kind") == kind) & (F.col("attr") == attr)).select("key", "positions")
+
+    def count_word(self, kind: str, attr: str, word: str) -> DataFrame:
+        return self.lookup_word(kind, attr, word).agg(F.count(F.lit(1)).alias("n"))
+
+    def lookup_value(self, kind: str, attr: str, value: str) -> DataFrame:
+        digest = hashlib.md5(value.lower().encode()).hexdigest()
+        return self._word("\x00" + digest).where((F.col("kind") == kind) & (F.col("attr") == attr)).select("key").distinct()
+
+    def lookup_phrase(self, kind: str, attr: str, phrase: str) -> DataFrame:
+        """Keys with the phrase's words one after the other: positions, shifted to that of the first word, intersect."""
+        out = None
+        for i, w in enumerate(split_words(phrase)):
+            at = self.lookup_word(kind, attr, w).select("key", F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+            out = at if out is None else out.join(at, "key").withColumn("p0", F.array_intersect("p0", f"p{i}")).drop(f"p{i}").where(F.size("p0") > 0)
+        return self.spark.createDataFrame([], "key string") if out is None else out.select("key").distinct()
+
+
 def find(graph: Graph, text: str, value: bool = False) -> DataFrame:
     """(kind, key) of all nodes with a phrase (or whole value) in any attribute."""
     parts = [(lookup_value if value else lookup_phrase)(d, None, text).select(F.lit(k).alias("kind"), "key") for k, d in graph.nodes.items()]

@@ -2,8 +2,11 @@
 
 Stores replace whole rows, updates merge attributes, removals cascade: a node's edges go with it, and an edge whose
 end on the removed side cascades takes the other node along (``cascadinglast``: only if no edge of its kind is left
-there).  The cascade is a fixpoint of joins; commits write nothing but plan anti-joins and unions, which callers
-may write out between transactions to keep plans short.
+there).  The cascade is a fixpoint of joins whose waves are written out; commits otherwise write nothing but plan
+anti-joins and unions, which callers may write out (``sources/store.py``) between transactions to keep plans short.
+
+A value of another type than its attribute's widens the attribute: numbers to a wider number, anything else to
+printed text.  An update that sets nil removes the attribute.
 """
 
 from __future__ import annotations
@@ -11,10 +14,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.values import column, printed
 from ..sources.graph import ENDS, Edges, Graph, check_name, frame, from_rows
+from ..sources.store import settle
+
+GIVEN = "__given"
 
 EVENTS = ("node.created", "node.updated", "node.deleted", "edge.created", "edge.updated", "edge.deleted", "node.store", "node.update", "node.delete", "edge.store", "edge.delete")
 
@@ -23,11 +31,29 @@ class Handled(Exception):
     """Raised by a rule to say that it dealt with the event: the change is left out."""
 
 
+def _common(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
+        return T.LongType()
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    return T.StringType()
+
+
+def _as(c: Column, had: T.DataType, want: T.DataType) -> Column:
+    if had == want:
+        return c
+    return F.when(c.isNotNull(), printed(column(c, had))) if isinstance(want, T.StringType) else c.cast(want)
+
+
 def _align(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Both, with attributes of a type that fits either."""
     if old is None:
         return new
-    same = new.select(*[F.col(f"`{c}`").cast(old.schema[c].dataType).alias(c) if c in old.columns and old.schema[c].dataType != new.schema[c].dataType else F.col(f"`{c}`") for c in new.columns])
-    return old.unionByName(same, allowMissingColumns=True)
+    types = {c: _common(old.schema[c].dataType, new.schema[c].dataType) for c in old.columns if c in new.columns}
+    alike = lambda d: d.select(*[_as(F.col(f"`{c}`"), d.schema[c].dataType, types.get(c, d.schema[c].dataType)).alias(c) for c in d.columns])
+    return alike(old).unionByName(alike(new), allowMissingColumns=True)
 
 
 def _without(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -113,7 +139,7 @@ class Transaction:
             g = upsert_nodes(g, kind, frame(g.spark, rows))
         by = {}
         for (kind, _), n in self._updates.items():
-            by.setdefault(kind, []).append({k: v for k, v in n.items() if k != "kind"})
+            by.setdefault(kind, []).append({k: v for k, v in n.items() if k != "kind"} | {GIVEN: [k for k in n if k != "kind"]})
         for kind, rows in by.items():
             g = update_nodes(g, kind, frame(g.spark, rows))
         if self._edges:
@@ -135,18 +161,30 @@ def upsert_nodes(g: Graph, kind: str, rows: DataFrame) -> Graph:
 
 
 def update_nodes(g: Graph, kind: str, rows: DataFrame) -> Graph:
-    """Given attributes replace old ones, others stay; unknown nodes are made."""
+    """Given attributes replace old ones, null removing them; others stay; unknown nodes are made.
+
+    Rows give all their columns, or those named in an array column ``__given``.
+    """
+    names = [c for c in rows.columns if c != GIVEN]
     old = g.nodes.get(kind)
     if old is None:
-        return upsert_nodes(g, kind, rows)
-    r = rows.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in rows.columns])
+        return upsert_nodes(g, kind, rows.select(*[F.col(f"`{c}`") for c in names]))
+    r = rows.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in names], *([F.col(GIVEN).alias("__of")] if GIVEN in rows.columns else []))
     both = old.join(r, F.col("key").cast("string") == F.col("__key").cast("string"), "full")
     cols = []
-    for c in dict.fromkeys([*old.columns, *rows.columns]):
-        t = old.schema[c].dataType if c in old.columns else rows.schema[c].dataType
-        new = F.col(f"`__{c}`").cast(t) if c in rows.columns else F.lit(None).cast(t)
-        cols.append(F.coalesce(new, F.col(f"`{c}`") if c in old.columns else F.lit(None).cast(t)).alias(c))
-    return g.with_(nodes=g.nodes | {kind: both.select(*cols)}, more_attrs=g.more_attrs | set(rows.columns))
+    for c in dict.fromkeys([*old.columns, *names]):
+        had = old.schema[c].dataType if c in old.columns else None
+        got = rows.schema[c].dataType if c in names else None
+        t = got if had is None else had if got is None else _common(had, got)
+        stays = F.lit(None).cast(t) if had is None else _as(F.col(f"`{c}`"), had, t)
+        if got is None:
+            cols.append(stays.alias(c))
+        elif c == "key":
+            cols.append(F.coalesce(stays, _as(F.col("__key"), got, t)).alias(c))
+        else:
+            told = F.array_contains("__of", c) if GIVEN in rows.columns else F.col("__key").isNotNull()
+            cols.append(F.when(told, _as(F.col(f"`__{c}`"), got, t)).otherwise(stays).alias(c))
+    return g.with_(nodes=g.nodes | {kind: both.select(*cols)}, more_attrs=g.more_attrs | set(names))
 
 
 def _ends_exist(g: Graph, e: Edges) -> None:
@@ -176,34 +214,47 @@ def remove_edges(g: Graph, kind: str, keys: DataFrame) -> Graph:
 
 
 def remove_nodes(g: Graph, gone: DataFrame) -> Graph:
-    """``gone``: (kind, key).  Rounds of joins until no node follows any more."""
-    total = wave = gone.select("kind", F.col("key").cast("string").alias("key")).distinct()
-    while True:
-        g, more = _remove_wave(g, wave)
-        wave = more.join(total, ["kind", "key"], "left_anti").distinct()
-        if wave.isEmpty():
-            return g
-        total = total.unionByName(wave)
-
-
-def _remove_wave(g: Graph, wave: DataFrame) -> tuple[Graph, DataFrame]:
-    nodes = {k: _without(d, wave.where(F.col("kind") == k)) for k, d in g.nodes.items()}
-    edges, follow = [], [wave.limit(0)]
+    """``gone``: (kind, key).  Nodes that follow are found wave by wave, each a written table; then all go at once."""
+    total = wave = settle(gone.select("kind", F.col("key").cast("string").alias("key")).distinct(), "removed")
+    if any(any(e.cascading) for e in g.edges):
+        while True:
+            more = _following(g, total, wave)
+            wave = settle(more.join(total, ["kind", "key"], "left_anti").distinct(), "removed")
+            if wave.isEmpty():
+                break
+            total = settle(total.unionByName(wave), "removed")
+    nodes = {k: _without(d, total.where(F.col("kind") == k)) for k, d in g.nodes.items()}
+    return g.with_(nodes=nodes, edges=tuple(replace(e, df=_detached(e, total)) for e in g.edges))
+
+
+def _touching(e: Edges, i: int, gone: DataFrame, how: str) -> DataFrame:
+    """Edges by whether their end ``i`` (0, 1) is among the nodes ``gone``."""
+    w = gone.where(F.col("kind") == (e.kind1, e.kind2)[i]).select(F.col("key").alias("__w"))
+    return e.df.join(w, F.col(ENDS[i]).cast("string") == F.col("__w"), how)
+
+
+def _detached(e: Edges, gone: DataFrame) -> DataFrame:
+    return _touching(replace(e, df=_touching(e, 0, gone, "left_anti")), 1, gone, "left_anti")
+
+
+def removed_edges(g: Graph, gone: DataFrame) -> DataFrame | None:
+    """(kind, key) of the edges that go with the nodes ``gone`` themselves."""
+    parts = [_touching(e, i, gone, "left_semi").select(F.lit(e.kind).alias("kind"), F.col("key").cast("string").alias("key")) for e in g.edges for i in (0, 1)]
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return None if out is None else out.distinct()
+
+
+def _following(g: Graph, total: DataFrame, wave: DataFrame) -> DataFrame:
+    """Nodes that go because one of the ``wave`` went; all of ``total`` are gone already."""
+    more = wave.limit(0)
     for e in g.edges:
-        side = []
-        for i, kind in ((0, e.kind1), (1, e.kind2)):
-            w = wave.where(F.col("kind") == kind).select(F.col("key").alias("__w"))
-            side.append((F.col(ENDS[i]).cast("string") == F.col("__w"), w))
-        left = e.df.join(side[0][1], side[0][0], "left_anti").join(side[1][1], side[1][0], "left_anti")
-        edges.append(replace(e, df=left))
         for i, other in ((0, e.kind2), (1, e.kind1)):
             if e.cascading[i]:
-                hit = e.df.join(side[i][1], side[i][0], "left_semi").select(F.lit(other).alias("kind"), F.col(ENDS[1 - i]).cast("string").alias("key"))
+                hit = _touching(e, i, wave, "left_semi").select(F.lit(other).alias("kind"), F.col(ENDS[1 - i]).cast("string").alias("key"))
                 if e.cascadinglast[i]:
-                    rest = left.select(F.col(ENDS[1 - i]).cast("string").alias("__rest"))
+                    rest = _detached(e, total).select(F.col(ENDS[1 - i]).cast("string").alias("__rest"))
                     hit = hit.join(rest, F.col("key") == F.col("__rest"), "left_anti")
-                follow.append(hit)
-    more = follow[0]
-    for f in follow[1:]:
-        more = more.unionByName(f)
-    return g.with_(nodes=nodes, edges=tuple(edges)), more
+                more = more.unionByName(hit)
+    return more

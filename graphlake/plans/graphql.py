@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import NIL, column, printed
@@ -272,7 +272,7 @@ class Executor:
         cell = lambda a: column(F.col(f"`{a}`"), df.schema[a].dataType) if a in df.columns else None
         df = self.matching(df, f, cell)
         df, names = self.nested(df, f, f.name, "key")
-        return self.limited(df.select(*[F.col(f"__{n}").alias(n) for n in names]), f, names)
+        return self.limited(df.select(*[F.col(f"__{n}").alias(n) for n in names], F.col("key").cast("string").alias("__key")), f, names)
 
     def matching(self, df: DataFrame, f: Field, cell) -> DataFrame:
         for name, want in (self.resolve(f.args.get("matches")) or {}).items():
@@ -336,10 +336,18 @@ class Executor:
         item = F.struct(*[F.col(f"__{n}").alias(n) for n in names])
         by = self.order_keys(F.col(f"__{up or down}")) if (up or down) in names else []
         entry = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(by)], F.col("__src_kind").alias("kind"), F.col("__src_key").alias("key"), item.alias("item"))
+        last, start, count = (self.resolve(x.args.get(k)) for k in ("last", "from", "items"))
+        most = int(last) if last is not None else int(start or 0) + int(count) if count else None
+        if most:
+            # Rows beyond those asked for are cut off before any list is built (by a partial limit before the shuffle, too).
+            rows = rows.withColumn("__entry", entry)
+            up_first = (last is not None) != (not down)
+            w = Window.partitionBy("__src").orderBy(F.col("__entry").asc() if up_first else F.col("__entry").desc())
+            rows = rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= most).drop("__k")
+            entry = F.col("__entry")
         got = F.sort_array(F.collect_list(entry), asc=not down)
         arr = F.transform(got, lambda e: e["item"])
         out = rows.groupBy(F.col("__src").alias("__owner")).agg(arr.alias("__list"))
-        last, start, count = (self.resolve(x.args.get(k)) for k in ("last", "from", "items"))
         if last is not None:
             out = out.withColumn("__list", F.slice("__list", F.greatest(F.size("__list") - last + 1, F.lit(1)), last))
         if start is not None or count is not None:
@@ -358,15 +366,23 @@ class Executor:
         if up and down:
             raise GraphQLError("Cannot specify ascending and descending sorting")
         keys = self.order_keys(F.col(f"`{up or down}`")) if (up or down) in names else []
+        if last is None and start is None and count is None:
+            return df.orderBy(*[k.desc() if down else k.asc() for k in keys]).drop("__key") if keys else df.drop("__key")
+        # What is cut needs an order: the one asked for, and keys (as text) where that leaves ties or none is asked for.
+        ascending = [*[k.desc() if down else k.asc() for k in keys], F.col("__key").asc()]
+        descending = [*[k.asc() if down else k.desc() for k in keys], F.col("__key").desc()]
         if last is not None:
-            df = df.orderBy(*[k.asc() if down else k.desc() for k in keys]).limit(last)
-        if keys:
-            df = df.orderBy(*[k.desc() if down else k.asc() for k in keys])
+            df = df.orderBy(*descending).limit(last)
+        df = df.orderBy(*ascending)
         if start is not None or count is not None:
-            if start and df.offset(start).isEmpty():
-                start = 0
-            df = df.offset(start or 0).limit(count or 0)
-        return df
+            # From beyond the end starts over: the row number tells within the plan, on the rows that the limit leaves.
+            start, count = start or 0, count or 0
+            w = Window.orderBy(F.lit(0))
+            head = df.limit(start + count).withColumn("__k", F.monotonically_increasing_id())
+            head = head.withColumn("__k", F.row_number().over(w.orderBy("__k"))).withColumn("__n", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            at = F.when(F.col("__n") > start, F.col("__k") - start).otherwise(F.col("__k"))
+            df = head.where((at > 0) & (at <= count)).orderBy("__k").drop("__k", "__n")
+        return df.drop("__key")
 
 
 def run_graphql(graph: Graph, query: str, variables: dict | None = None, operation: str = "") -> dict:

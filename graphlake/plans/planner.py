@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.dates import RFC3339, parse_date
+from ..operators.nodes import NodeInfo
 from ..operators.results import Result, unique
 from ..operators.traverse import neighbours, zigzag
 from ..sources.graph import ENDS, Edges, Graph
@@ -60,8 +61,9 @@ class Shown:
 
 
 class Planner:
-    def __init__(self, graph: Graph, tree: Node):
+    def __init__(self, graph: Graph, tree: Node, info: NodeInfo | None = None):
         self.graph, self.tree = graph, tree
+        self.info = info or NodeInfo(graph)
         self.all_attrs = graph.all_attrs()
         self.steps: list[Step] = []
         self.outer = False
@@ -122,7 +124,7 @@ class Planner:
         out = []
         if not self.show:
             for s in self.steps:
-                attrs = ["key", *sorted(a for a in self.graph.attrs(s.kind) if a != "key")] if s.kind and s.kind in self.graph.nodes else ["key", "kind", "name"]
+                attrs = self.info.summary_attributes(s.kind)
                 out += [Shown(s, "n", a, self.label(s.kind, a)) for a in attrs]
             return out
         for t in self.show:
@@ -169,10 +171,8 @@ class Planner:
             raise QueryError("Invalid construct", "No edge data available at this level", t.token)
         return s, parts[1], ":".join(parts[2:])
 
-    @staticmethod
-    def label(kind: str, attr: str) -> str:
-        a = V.display_name(attr)
-        return f"{V.display_name(kind)} {a}" if kind and attr in ("key", "kind", "name") else a
+    def label(self, kind: str, attr: str) -> str:
+        return self.info.attribute_display(kind, attr)
 
     # --- attributes needed ---
 
@@ -371,7 +371,7 @@ class Planner:
         names = [c for c, _ in cols]
         df = self.finish(df, shown, names, order)
         primary = self.primary or self.steps[0].kinds[0]
-        return Result(df, names, [x.label for x in shown], [x.format for x in shown], [x.data for x in shown], primary, self.graph.partition, sources)
+        return Result(df, names, [x.label for x in shown], [x.format for x in shown], [x.data for x in shown], primary, self.graph.partition, sources, [(x.step.number, x.step.kind if x.side == "n" else "") for x in shown])
 
     def shown_value(self, x: Shown) -> V.Value:
         if x.func is not None and x.func.value == "objget":
@@ -566,5 +566,5 @@ def check_regex(s: str, n: Node) -> str:
     return s
 
 
-def run_query(graph: Graph, text: str) -> Result:
-    return Planner(graph, parse(text)).run()
+def run_query(graph: Graph, text: str, info: NodeInfo | None = None) -> Result:
+    return Planner(graph, parse(text), info).run()

@@ -1,13 +1,18 @@
-"""Import and export of whole graphs as JSON documents ``{"nodes": [...], "edges": [...]}``."""
+"""Import and export of whole graphs as JSON.
+
+A document ``{"nodes": [...], "edges": [...]}`` is for graphs that fit in a text.  The distributed form is a folder of JSON lines by
+section, kind and, for edges, ends, written and read by executors; a zip archive holds one such document a partition.
+"""
 
 from __future__ import annotations
 
 import json
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph, flat_edges, from_rows
+from .graph import ENDS, Edges, Graph, flat_edges, from_rows
 
 
 def import_document(spark: SparkSession, text: str, partition: str = "main") -> Graph:
@@ -32,7 +37,7 @@ def export_rows(graph: Graph) -> DataFrame:
 
 def export_document(graph: Graph) -> str:
     """One document; for graphs that fit in a text."""
-    rows = export_rows(graph).orderBy(F.desc("section"), "kind", "key").collect()
+    rows = sorted_dump(graph).collect()
     out = {"nodes": [], "edges": []}
     for r in rows:
         out[r.section].append(json.loads(r.json))
@@ -40,5 +45,49 @@ def export_document(graph: Graph) -> str:
 
 
 def write_export(graph: Graph, path: str) -> None:
-    """Distributed: text files of JSON lines under ``section=nodes`` and ``section=edges``."""
-    export_rows(graph).select("section", F.col("json").alias("value")).write.partitionBy("section").text(path)
+    """JSON lines under ``nodes/kind=...`` and ``edges/set=<kind1.role1.kind.role2.kind2.flags>``; nothing passes the driver."""
+    for kind, d in graph.nodes.items():
+        d.select(F.to_json(F.struct(*[c for c in d.columns if c != "kind"])).alias("value")).write.text(f"{path}/nodes/kind={kind}")
+    for e in graph.edges:
+        flags = "".join("t" if x else "f" for x in (*e.cascading, *e.cascadinglast))
+        rows = e.df.select(*[F.col(f"`{a}`").cast("string") if a == "key" else F.col(f"`{a}`") for a in e.attrs], *[F.col(x).cast("string").alias(x) for x in ENDS])
+        rows.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/edges/set={'.'.join((e.kind1, e.role1, e.kind, e.role2, e.kind2, flags))}")
+
+
+def read_export(spark: SparkSession, path: str, partition: str = "main") -> Graph:
+    """A folder that ``write_export`` wrote: a scan of each part finds its schema, rows are read where they are used."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def parts(section: str) -> list[str]:
+        at = fs_path(f"{path}/{section}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    nodes, edges = {}, []
+    for name in parts("nodes"):
+        d = spark.read.json(f"{path}/nodes/{name}")
+        nodes[name.removeprefix("kind=")] = d if "key" in d.columns else spark.createDataFrame([], "key string")
+    for name in parts("edges"):
+        kind1, role1, kind, role2, kind2, flags = name.removeprefix("set=").split(".")
+        d = spark.read.json(f"{path}/edges/{name}")
+        d = d if "key" in d.columns else spark.createDataFrame([], "key string, end1key string, end2key string")
+        on = [c == "t" for c in flags]
+        edges.append(Edges(kind, kind1, role1, kind2, role2, d, cascading=(on[0], on[1]), cascadinglast=(on[2], on[3])))
+    return Graph(spark, nodes, tuple(edges), partition)
+
+
+def sorted_dump(graph: Graph) -> DataFrame:
+    """``export_rows`` in canonical order: nodes first, each by kind and key."""
+    return export_rows(graph).orderBy(F.desc("section"), "kind", "key")
+
+
+def write_zip(graphs: list[Graph], path: str) -> None:
+    """One archive, a document a partition; for graphs that fit in a text."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for g in graphs:
+            z.writestr(f"{g.partition}.json", export_document(g))
+
+
+def read_zip(spark: SparkSession, path: str) -> dict[str, Graph]:
+    with zipfile.ZipFile(path) as z:
+        return {n.removesuffix(".json"): import_document(spark, z.read(n).decode(), n.removesuffix(".json")) for n in sorted(z.namelist())}
