@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 
 from graphlake.queries import QUERIES
 
-#: Scan, one hop, three hops, counts, siblings, uniqueness, text.
-HEADLINE = ["get_where_gt", "hop1", "hop3", "hop_items", "count_where", "count_show_cond", "siblings", "unique_count", "text_phrase", "graphql_nested"]
+#: Scan, arithmetic, one hop, three hops, counts, siblings, uniqueness, text, nested lists, an incremental subscription.
+HEADLINE = ["get_where_gt", "where_long_arithmetic", "hop1", "hop3", "hop_items", "count_where", "count_show_cond", "siblings", "unique_count", "text_phrase", "graphql_nested", "subscription_replay"]
 
 
 def main() -> None:

@@ -101,6 +101,10 @@ def edge_texts(graph: Graph, kind: str) -> DataFrame:
     return out
 
 
+def _back(n: int):
+    return lambda p: p - n
+
+
 class StoredIndex:
     """A full-text index in files: words with positions and hashes of whole values, bucketed by word.
 
@@ -195,7 +199,7 @@ class StoredIndex:
         """Keys with the phrase's words one after the other: positions, shifted to that of the first word, intersect."""
         out = None
         for i, w in enumerate(split_words(phrase)):
-            at = self.lookup_word(kind, attr, w).select("key", F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+            at = self.lookup_word(kind, attr, w).select("key", F.transform("positions", _back(i)).alias(f"p{i}"))
             out = at if out is None else out.join(at, "key").withColumn("p0", F.array_intersect("p0", f"p{i}")).drop(f"p{i}").where(F.size("p0") > 0)
         return self.spark.createDataFrame([], "key string") if out is None else out.select("key").distinct()
 

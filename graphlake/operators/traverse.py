@@ -43,6 +43,25 @@ def neighbours(graph: Graph, found: list[tuple[Edges, int]], node_attrs: set[str
     return out if kinds else out.drop(f"{tag}_srckind")
 
 
+def oriented(graph: Graph, kind: str, key: str, spec: str) -> DataFrame:
+    """Edges of one node that fit a spec, with all their data, turned so that the node is their first end; keys are text.
+
+    The flags of the ends turn with them.
+    """
+    out = None
+    for e, i in graph.match([kind], spec):
+        for side in (1, 2) if e.symmetric else (i,):
+            ends = (e.kind1, e.role1, e.cascading[0], e.cascadinglast[0]), (e.kind2, e.role2, e.cascading[1], e.cascadinglast[1])
+            df = e.df.where(F.col(ENDS[0]).cast("string") != F.col(ENDS[1]).cast("string")) if e.symmetric and side == 2 else e.df
+            cols = [F.lit(e.kind).alias("kind"), *[F.col(f"`{a}`").cast("string") if a == "key" else F.col(f"`{a}`") for a in e.attrs]]
+            for n, at in ((1, side - 1), (2, 2 - side)):
+                values = {"key": F.col(ENDS[at]).cast("string")} | {w: F.lit(v) for w, v in zip(("kind", "role", "cascading", "cascadinglast"), ends[at])}
+                cols += [v.alias(f"end{n}{w}") for w, v in values.items()]
+            d = df.where(F.col(ENDS[side - 1]).cast("string") == key).select(*cols)
+            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return graph.spark.createDataFrame([], "kind string, key string") if out is None else out
+
+
 def _alike(p: DataFrame, out: DataFrame) -> DataFrame:
     """``p`` with the columns' types of ``out`` where a null stands for an attribute that a kind lacks."""
     types = {f.name: f.dataType for f in out.schema.fields}

@@ -308,8 +308,8 @@ class Executor:
             if lists is None:
                 df = df.withColumn(f"__{x.alias}", F.array())
                 continue
-            joined = df.join(lists, F.col(key).cast("string") == F.col("__owner").cast("string"), "left").drop("__owner")
-            df = joined.withColumn(f"__{x.alias}", F.coalesce("__list", F.array().cast(joined.schema["__list"].dataType))).drop("__list")
+            joined = df.join(lists, F.col(key).cast("string") == F.col("__0owner").cast("string"), "left").drop("__0owner")
+            df = joined.withColumn(f"__{x.alias}", F.coalesce("__0list", F.array().cast(joined.schema["__0list"].dataType))).drop("__0list")
         return df, names
 
     def lists(self, kind: str, spec: str, x: Field) -> DataFrame | None:
@@ -347,12 +347,12 @@ class Executor:
             entry = F.col("__entry")
         got = F.sort_array(F.collect_list(entry), asc=not down)
         arr = F.transform(got, lambda e: e["item"])
-        out = rows.groupBy(F.col("__src").alias("__owner")).agg(arr.alias("__list"))
+        out = rows.groupBy(F.col("__src").alias("__0owner")).agg(arr.alias("__0list"))
         if last is not None:
-            out = out.withColumn("__list", F.slice("__list", F.greatest(F.size("__list") - last + 1, F.lit(1)), last))
+            out = out.withColumn("__0list", F.slice("__0list", F.greatest(F.size("__0list") - last + 1, F.lit(1)), last))
         if start is not None or count is not None:
-            begin = F.when(F.size("__list") <= (start or 0), F.lit(0)).otherwise(F.lit(start or 0))
-            out = out.withColumn("__list", F.slice("__list", begin + 1, F.lit(count or 0)))
+            begin = F.when(F.size("__0list") <= (start or 0), F.lit(0)).otherwise(F.lit(start or 0))
+            out = out.withColumn("__0list", F.slice("__0list", begin + 1, F.lit(count or 0)))
         return out
 
     @staticmethod

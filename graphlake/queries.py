@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import api_queries
 from .operators import fulltext
 from .operators.results import quick_filter
 from .plans.graphql import Executor
@@ -25,7 +26,7 @@ TEXTS: dict[str, tuple[str, list[str], str]] = {
     "where_in": ("get Customer where mktsegment in [BUILDING, MACHINERY] show key", ["key"], "SELECT c_custkey AS key FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
     "where_notin": ("get Customer where mktsegment notin [BUILDING, MACHINERY] show key", ["key"], "SELECT c_custkey AS key FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"),
     "where_strings": ("get Part where name contains e and name containsnot x and type endswith 'L' or name beginswith 'b' show key", ["key"], "SELECT p_partkey AS key FROM part WHERE (contains(p_name, 'e') AND NOT contains(p_name, 'x') AND suffix(p_type, 'L')) OR prefix(p_name, 'b')"),
-    "where_date": ("get Region where @parseDate('2012-10-12T19:00:55+02:00') = 1350061255 show key", ["key"], "SELECT r_regionkey AS key FROM region"),
+    "where_date": ("get Region where @parseDate('2012-10-12T19:00:55+02:00') = 1350061255 show key", ["key"], "SELECT r_regionkey AS key FROM region WHERE epoch(TIMESTAMPTZ '2012-10-12 19:00:55+02:00') = 1350061255"),
     "lookup_keys": ("lookup Nation '1', '2', '2' show key, name", ["key", "name"], "SELECT n_nationkey AS key, n_name AS name FROM nation JOIN (VALUES (1), (2), (2)) k(k) ON n_nationkey = k"),
     "hop1": ("lookup Region '2' traverse Container:InRegion:Member:Nation end show Region:name, Nation:name", ["region", "nation"], "SELECT r_name AS region, n_name AS nation FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey = 2"),
     "hop3": (
@@ -69,7 +70,6 @@ SELECT t.n AS nation, c.k AS customer, s.k AS supplier FROM t JOIN c ON c.n = t.
     ),
     "unique": ("get Part show brand with filtering(unique brand)", ["brand"], "SELECT DISTINCT p_brand AS brand FROM part"),
     "unique_count": ("get Part show brand with filtering(uniquecount brand)", ["brand"], "SELECT p_brand || ' (' || count(*) || ')' AS brand FROM part GROUP BY p_brand"),
-    "ordering2": ("get Supplier show name, acctbal, nationkey with ordering(descending acctbal, ascending nationkey)", ["name", "acctbal", "nation"], "SELECT s_name AS name, s_acctbal AS acctbal, s_nationkey AS nation FROM supplier"),
     "from_group": ("get Part from group 'Brand#2' show key", ["key"], "SELECT p_partkey AS key FROM part WHERE p_brand = 'Brand#2'"),
     "lookup_group": ("lookup Customer '1', '2', '3', '4', '5', '6', '7', '8', '9' from group BUILDING show key", ["key"], "SELECT c_custkey AS key FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey BETWEEN 1 AND 9"),
     "group_names": ("get Customer where acctbal > 9900 traverse Member:Contains:group:group end show 1:n:key, group:name", ["key", "group"], "SELECT c_custkey AS key, c_mktsegment AS \"group\" FROM customer WHERE c_acctbal > 9900"),
@@ -117,20 +117,22 @@ OTHERS: dict[str, tuple[Callable[[Graph], DataFrame], str]] = {
     ),
     "text_value": (lambda g: fulltext.lookup_value(g.nodes["Customer"], "mktsegment", "Building"), "SELECT c_custkey::VARCHAR AS key FROM customer WHERE lower(c_mktsegment) = 'building'"),
     "text_count": (lambda g: fulltext.count_word(g.nodes["Document"], "text", "license"), r"SELECT count(*) AS n FROM documents WHERE list_contains(string_split_regex(lower(text), '[\s\p{Z}\p{Cc}\p{P}]+'), 'license')"),
-    "quickfilter": (lambda g: quick_filter(run_query(g, "get Order show orderpriority").frame(["p"]), "p"), "SELECT o_orderpriority AS value, count(*) AS frequency FROM orders GROUP BY o_orderpriority"),
-    "node_count": (
-        lambda g: g.with_(nodes={k: g.nodes[k] for k in ("Region", "Customer", "Order", "Lineitem", "group")}).node_count(),
-        "SELECT 'Region' AS kind, count(*) AS n FROM region UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Lineitem', count(*) FROM lineitem UNION ALL SELECT 'group', (SELECT count(DISTINCT p_brand) FROM part) + (SELECT count(DISTINCT c_mktsegment) FROM customer)",
+    "quickfilter": (
+        lambda g: quick_filter(run_query(g, "get Order show orderpriority").frame(["p"]), "p").select("value", "frequency", (F.row_number().over(Window.orderBy(F.desc("frequency"), "value")) - 1).cast("long").alias("place")),
+        "SELECT o_orderpriority AS value, count(*) AS frequency, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) - 1 AS place FROM orders GROUP BY o_orderpriority",
     ),
-    "edge_count": (
-        lambda g: g.edge_count().where("kind IN ('FromNation', 'Placed', 'HasItem')"),
-        "SELECT 'FromNation' AS kind, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'Placed', count(*) FROM orders UNION ALL SELECT 'HasItem', count(*) FROM lineitem",
+    "node_count": (lambda g: g.node_count(), api_queries.NODE_COUNT_SQL),
+    "edge_count": (lambda g: g.edge_count(), api_queries.EDGE_COUNT_SQL),
+    "node_specs": (
+        lambda g: g.node_specs("Nation", "3"),
+        "SELECT DISTINCT 'Home:FromNation:Resident:Customer' AS spec FROM customer WHERE c_nationkey = 3 UNION ALL SELECT DISTINCT 'Home:FromNation:Resident:Supplier' FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'Member:InRegion:Container:Region' FROM nation WHERE n_nationkey = 3 AND n_regionkey IS NOT NULL",
     ),
-    "node_specs": (lambda g: g.node_specs("Nation", "3"), "SELECT * FROM (VALUES ('Home:FromNation:Resident:Customer'), ('Home:FromNation:Resident:Supplier'), ('Member:InRegion:Container:Region')) t(spec)"),
     "fetch_node": (lambda g: g.fetch_node("Customer", "7", ["key", "name"]), "SELECT c_custkey AS key, c_name AS name FROM customer WHERE c_custkey = 7"),
     "graphql_nested": (_nested, "SELECT r_name AS region, n_name AS nation, c_custkey AS customer FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_name <> 'ASIA' AND contains(c_mktsegment, 'BUILD')"),
     "graphql_top": (_graphql('{ Nation(descending: "key", items: 5, from: 2) { key name } }', "Nation"), "SELECT n_nationkey AS key, n_name AS name FROM nation ORDER BY n_nationkey DESC LIMIT 5 OFFSET 2"),
 }
 
+TEXTS |= api_queries.TEXTS
+OTHERS |= api_queries.OTHERS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _text_query(t, names) for k, (t, names, _) in TEXTS.items()} | {k: _graph(f) for k, (f, _) in OTHERS.items()}
 ORACLE_SQL: dict[str, str] = {k: sql for k, (_, _, sql) in TEXTS.items()} | {k: sql for k, (_, sql) in OTHERS.items()}

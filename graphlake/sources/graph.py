@@ -176,13 +176,13 @@ def from_rows(spark: SparkSession, nodes: list[dict], edges: list[dict], partiti
     kinds: dict[str, list[dict]] = {}
     for n in nodes:
         for must in ("key", "kind"):
-            if not n.get(must):
+            if n.get(must) in (None, ""):
                 raise ValueError(f"Node is missing a {must} value")
         kinds.setdefault(check_name("Node kind", n["kind"]), []).append({k: v for k, v in n.items() if k != "kind"})
     groups: dict[tuple, list[dict]] = {}
     for e in edges:
         for must in ("key", "kind", "end1key", "end1kind", "end1role", "end2key", "end2kind", "end2role"):
-            if not e.get(must):
+            if e.get(must) in (None, ""):
                 raise ValueError(f"Edge is missing a {must} value")
         flags = tuple(bool(e.get(f"end{i}{w}")) for w in ("cascading", "cascadinglast") for i in (1, 2))
         ends = (e["kind"], e["end1kind"], e["end1role"], e["end2kind"], e["end2role"], flags)

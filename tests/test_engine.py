@@ -11,8 +11,9 @@ from graphlake.operators.mutate import Handled, Transaction
 from graphlake.plans.graphql import GraphQLError, run_graphql
 from graphlake.plans.planner import run_query
 from graphlake.plans.syntax import Node, QueryError, parse, pretty, refine
-from graphlake.sources.graph import from_rows
+from graphlake.sources.graph import Graph, from_rows
 from graphlake.sources.json_io import export_document, import_document
+from graphlake.sources.tables import star_graph
 from graphlake.streaming.feed import Feed, Subscription
 
 SONGS = {"000": [("Aria1", 8, 1), ("Aria2", 2, 2), ("Aria3", 4, 3), ("Aria4", 18, 4)], "123": [("LoveSong3", 1, 3), ("FightSong4", 3, 4), ("DeadSong2", 6, 2), ("StrangeSong1", 5, 1)], "456": [("MyOnlySong3", 19, 3)]}
@@ -179,3 +180,50 @@ def test_zigzag_formula_against_a_loop():
                 want.append(tuple(at))
         off = [sum(x - 1 for x in n[:j]) for j in range(len(n))]
         assert [tuple(min(max(p - o, 0), x - 1) for o, x in zip(off, n)) for p in range(sum(n) - len(n) + 1)] == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comparisons_reach_the_scan(spark, tmp_path):
+    g = star_graph(spark, "/root/testdata/sf0.001")
+    for cond, pushed in (("acctbal > 9000", "GreaterThan(c_acctbal,9000.0)"), ("9000 <= acctbal", "GreaterThanOrEqual(c_acctbal,9000.0)"), ("acctbal < 5", "LessThan(c_acctbal,5.0)"), ("mktsegment = BUILDING", "EqualTo(c_mktsegment,BUILDING)")):
+        assert pushed in plan(run_query(g, f"get Customer where {cond} show key").frame()), cond
+    spark.createDataFrame([("1", float("nan")), ("2", None), ("3", 7.0), ("4", float("inf"))], "key string, x double").write.parquet(str(tmp_path / "t"))
+    nodes = {"T": spark.read.parquet(str(tmp_path / "t"))}
+    ask = lambda c: sorted(r[0] for r in run_query(Graph(spark, nodes), f"get T where {c} show key").frame().collect())
+    assert ask("x > 5") == ["2", "3", "4"]  # missing prints <nil>, which is after 5 as text; NaN is not above anything
+    assert ask("x < 9") == ["3"] and ask("6 < x") == ["2", "3", "4"] and ask("x = 7") == ["3"]
+
+
+def test_arithmetic_plans_grow_with_their_text(spark):
+    g = star_graph(spark, "/root/testdata/sf0.001")
+    sizes = [len(plan(run_query(g, f"get Part where retailprice {'+ 1 ' * n} > 5 show key").frame())) for n in (2, 12)]
+    assert sizes[1] < 4 * sizes[0]
+    # One division by zero, one missing value.
+    t = Graph(spark, {"T": spark.createDataFrame([("1", 6.0, 0), ("2", -6.0, 4)], "key string, a double, b int")})
+    got = {r[0]: r[1] for r in run_query(t, "get T where a / b > 1 or a / b < 0 show key, a").frame().collect()}
+    assert got == {"1": 6.0, "2": -6.0}
+    with pytest.raises(Exception, match="integer divide by zero"):
+        run_query(t, "get T where a % b = 0 show key").frame().collect()
+    bad = Graph(spark, {"T": spark.createDataFrame([("1", None), ("2", "x")], "key string, a string")})
+    with pytest.raises(Exception, match="not a number"):
+        run_query(bad, "get T where a + 1 + 1 > 0 show key").frame().collect()
+
+
+def test_owned_steps_read_one_table(spark):
+    g = star_graph(spark, "/root/testdata/sf0.001")
+    text = "get Order where totalprice > 400000 traverse Whole:HasItem:Part:Lineitem where quantity > 30 traverse Item:OfPart:Product:Part end end show 1:n:key, 2:n:quantity, 3:n:brand"
+    p = plan(run_query(g, text).frame())
+    assert p.count("lineitem.parquet") == 1 and "Window" not in p
+    assert p.count("HashJoin") + p.count("SortMergeJoin") <= 2
+
+
+def test_mixed_updates_of_one_transaction(songs):
+    t = Transaction(songs)
+    t.update_node({"kind": "Song", "key": "Aria1", "ranking": None})
+    t.update_node({"kind": "Song", "key": "Aria2", "ranking": "best"})
+    t.update_node({"kind": "Song", "key": "Aria3", "name": "Third"})
+    got = {r.key: (r.name, r.ranking) for r in t.commit().nodes["Song"].where("key LIKE 'Aria%'").collect()}
+    assert got == {"Aria1": ("Aria1", None), "Aria2": ("Aria2", "best"), "Aria3": ("Third", "4"), "Aria4": ("Aria4", "18")}
