@@ -108,7 +108,7 @@ class Feed:
         gone = [e for e in self._epochs("gone")]
         if gone:
             away = self.spark.read.parquet(*[f"{self.folder}/gone={e}" for e in gone])
-            for kind in g.edge_kinds():
+            for kind in sorted({e.kind for e in g.edges if self.kind in (e.kind1, e.kind2)}):
                 g = remove_edges(g, kind, away.where(F.col("kind") == kind).select("key"))
         self.graph = g
 
@@ -120,7 +120,8 @@ class Feed:
         ops = {r.op for r in batch.select("op").distinct().collect()}
         edges = None
         if "deleted" in ops:
-            edges = removed_edges(self.graph, batch.where("op = 'deleted'").select(F.lit(self.kind).alias("kind"), F.col("key").cast("string").alias("key")))
+            near = self.graph.with_(edges=tuple(e for e in self.graph.edges if self.kind in (e.kind1, e.kind2)))
+            edges = removed_edges(near, batch.where("op = 'deleted'").select(F.lit(self.kind).alias("kind"), F.col("key").cast("string").alias("key")))
             if edges is not None:
                 self._write(edges, "gone", epoch)
                 edges = self.spark.read.parquet(f"{self.folder}/gone={epoch}")
