@@ -1,9 +1,10 @@
 """Personal data by rules and a semi-Markov conditional random field.
 
 Rules (kind, pattern, test) find the base spans.  Around digits and ``@`` a segment model looks for more: text is cut
-into tokens, every run of at most ``MAX_TOKENS`` tokens is a candidate segment with features of the *whole* span
-(digits, groups, separators, shape, checksum, the words around), and dynamic programming over segments chooses
-boundaries and types jointly.  Weights are fitted by gradient of the segment-level conditional log-likelihood on
+into tokens, every run of at most ``MAX_TOKENS`` tokens (and ``MAX_CHARS`` characters) that begins and ends with whole words is
+a candidate segment with features of the *whole* span
+(digits, groups, separators, shape, checksum, the words around), segments side by side have transition scores by
+their types, and dynamic programming chooses boundaries and types jointly.  Weights are fitted by gradient of the segment-level conditional log-likelihood on
 generated sentences (``training_set``), with the forward-backward recursion; the same seed gives the same weights.
 
 The model adds spans of the base kinds that the patterns miss (phones without a plus, cards or addresses
@@ -11,11 +12,14 @@ written apart) and of the kinds ``id`` (national numbers), ``iban`` and ``secret
 that overlaps a base span is left out: base spans always stay.
 
 Nulls and edges: null or empty text has no spans; positions are code points, end exclusive; a null ``doc_id`` is
-reported; repeated rows are reported each.  Regions are looked at whole, however long.
+reported; repeated rows are reported each.  Every region is decided as a whole, however long: it is read in pieces
+of ``PIECE`` tokens and solved up to the last place that no possible entity crosses, which changes nothing.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -28,12 +32,15 @@ from .common import extend
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "id", "secret"]
-MAX_TOKENS = 16
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: The longest forms are written-out addresses (some 30 tokens, blanks and marks counted) and account numbers in groups.
+MAX_TOKENS = 34
+MAX_CHARS = 256
+PIECE = 2048
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TRIGGER = re.compile(r"[0-9@]")
 
 
@@ -54,21 +61,29 @@ def _digits(s: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the rules, by start, then kind."""
     out = []
-    if "@" in text:
-        # A match lies in one run of the characters it may consist of: only runs around an @ are searched.
-        at, done = text.find("@"), 0
-        while at >= 0:
-            a = at
-            while a > done and _RUN.match(text[a - 1]):
-                a -= 1
-            z = _RUN.match(text, at).end()
-            out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text, a, z)]
-            done = z
-            at = text.find("@", z)
+    # An address needs a local part before its @: what stands there since the last @ or the last address.  One look at each @.
+    at, done, since = text.find("@"), 0, 0
+    while at >= 0:
+        a, floor = at, max(done, since)
+        while a > floor and text[a - 1] in _LOCAL:
+            a -= 1
+        if a < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append(("email", a, m.end()))
+            done = m.end()
+        since = at + 1
+        at = text.find("@", since)
     if re.search("[0-9]", text):
-        for m in _IP.finditer(text):
-            if all(int(p[-4:]) <= 255 and not p[:-3].strip("0") for p in m.group().split(".")):
-                out.append(("ip", m.start(), m.end()))
+        # Numbers joined by dots, four by four from the left, are what the pattern matches; runs are read once.
+        for m in _DOTTED.finditer(text):
+            if m.group().count(".") < 3:
+                continue
+            parts, place = m.group().split("."), m.start()
+            for k in range(0, len(parts) - 3, 4):
+                four = parts[k : k + 4]
+                size = sum(map(len, four)) + 3
+                if all(int(p[-4:]) <= 255 and not p[:-3].strip("0") for p in four):
+                    out.append(("ip", place, place + size))
+                place += size + 1
         for m in _CARD.finditer(text):
             d = _digits(m.group())
             if 14 <= len(d) <= 19 and luhn(d):
@@ -87,6 +102,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 _LONG = re.compile(r"[A-Za-z0-9_\-]{20,}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
 _AT = re.compile(r"[\w.%+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z]{2,})+")
+_SPELLED = re.compile(r"[(\[]at[)\]]")
 _MORE_LEFT = re.compile(r"[0-9][ .)-]{1,2}$")
 _MORE_RIGHT = re.compile(r"[ .(-]{1,2}[0-9]")
 _WORDS = {
@@ -104,7 +120,6 @@ NAMES = [
     "quoted", "more_left", "more_right", *(f"near_{k}" for k in _WORDS),
 ]
 N_FEATURES = len(NAMES)
-_OUTER = 0.0
 
 
 def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -142,18 +157,29 @@ def features(text: str, a: int, z: int) -> np.ndarray | None:
     return f
 
 
-def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
-    """Candidate segments (first token, end token, features)."""
+def lattice(text: str, tokens: list[tuple[int, int]], low: int = 0, high: int | None = None) -> list[tuple[int, int, np.ndarray]]:
+    """Candidate segments (first token, end token, features) whose first token is one of ``low`` to ``high``."""
     out = []
-    for i, (a, _) in enumerate(tokens):
+    for i in range(low, len(tokens) if high is None else min(high, len(tokens))):
+        a = tokens[i][0]
         c = text[a]
-        if not (c.isalnum() or c in "(+"):
+        if not (c.isalnum() or c in "(+") or c.isalnum() and a and text[a - 1].isalnum():
             continue
+        stop = tokens[min(len(tokens), i + MAX_TOKENS) - 1][1]
+        spelled = "@" in text[a : min(stop, a + MAX_CHARS)] or _SPELLED.search(text, a, min(stop, a + MAX_CHARS)) is not None
+        small = blank = False
         for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-            z = tokens[j - 1][1]
-            if text[z - 1] == "\n":
+            b, z = tokens[j - 1]
+            said = text[b]
+            if said == "\n" or z - a > MAX_CHARS:
                 break
-            if not text[z - 1].isalnum():
+            if said.isspace():
+                blank = True
+                continue
+            small = small or said.isalpha() and not text[b:z].isupper()
+            if small and blank and not spelled:  # of several words in small letters only an address can be made
+                break
+            if not text[z - 1].isalnum() or z < len(text) and text[z].isalnum():
                 continue
             f = features(text, a, z)
             if f is not None:
@@ -161,47 +187,78 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np
     return out
 
 
+def _lse(x: np.ndarray, axis: int = 0) -> np.ndarray:
+    top = np.maximum(x.max(axis=axis), -1e300)
+    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
+
+
 class SemiMarkovCRF:
-    """Types over segments; every token outside an entity is a segment of its own with score 0."""
+    """Types over segments, with a score for each type following another; a token outside entities is a segment of its own with score 0."""
+
+    OUT = len(KINDS)
 
-    def __init__(self, weights: np.ndarray | None = None):
+    def __init__(self, weights: np.ndarray | None = None, transitions: np.ndarray | None = None):
         self.w = np.zeros((len(KINDS), N_FEATURES)) if weights is None else weights
+        self.t = np.zeros((self.OUT + 1, self.OUT + 1)) if transitions is None else transitions  # from, to; outside to outside stays 0
 
-    def _forward(self, n: int, segments, scores):
+    def _forward(self, n: int, segments, scores) -> tuple[np.ndarray, np.ndarray]:
+        """By place and type: log-sums of the paths whose last segment of that type ends there, and of those that go on with that type."""
         ending: list[list[int]] = [[] for _ in range(n + 1)]
         for x, (_, j, _) in enumerate(segments):
             ending[j].append(x)
-        alpha = np.full(n + 1, -np.inf)
-        alpha[0] = 0.0
+        alpha, on = np.full((n + 1, self.OUT + 1), -np.inf), np.full((n + 1, self.OUT + 1), -np.inf)
+        alpha[0, self.OUT] = 0.0
+        on[0] = self.t[self.OUT]
         for j in range(1, n + 1):
-            terms = [np.array([alpha[j - 1] + _OUTER])]
+            alpha[j, self.OUT] = on[j - 1, self.OUT]
             for x in ending[j]:
-                terms.append(alpha[segments[x][0]] + scores[x])
-            t = np.concatenate(terms)
-            top = t.max()
-            alpha[j] = top + np.log(np.exp(t - top).sum())
-        return alpha
-
-    def gradient(self, n: int, segments, gold: set[tuple[int, int, int]]) -> tuple[float, np.ndarray]:
-        """Log-likelihood of the gold segments (first, end, kind) and its gradient."""
-        g = np.zeros_like(self.w)
+                alpha[j, : self.OUT] = np.logaddexp(alpha[j, : self.OUT], on[segments[x][0], : self.OUT] + scores[x])
+            on[j] = _lse(alpha[j][:, None] + self.t) if ending[j] else alpha[j, self.OUT] + self.t[self.OUT]
+        return alpha, on
+
+    def _backward(self, n: int, segments, scores) -> tuple[np.ndarray, np.ndarray]:
+        """By place and type: log-sums of what follows a segment of that type, and of what begins there with that type."""
+        starting: list[list[int]] = [[] for _ in range(n + 1)]
+        for x, (i, _, _) in enumerate(segments):
+            starting[i].append(x)
+        beta, begin = np.zeros((n + 1, self.OUT + 1)), np.full((n + 1, self.OUT + 1), -np.inf)
+        for i in range(n - 1, -1, -1):
+            begin[i, self.OUT] = beta[i + 1, self.OUT]
+            for x in starting[i]:
+                begin[i, : self.OUT] = np.logaddexp(begin[i, : self.OUT], scores[x] + beta[segments[x][1], : self.OUT])
+            beta[i] = _lse(self.t + begin[i][None, :], 1) if starting[i] else self.t[:, self.OUT] + begin[i, self.OUT]
+        return beta, begin
+
+    def gradient(self, n: int, segments, gold: set[tuple[int, int, int]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of the gold segments (first, end, kind) and its gradients by weights and transitions."""
+        g, gt = np.zeros_like(self.w), np.zeros_like(self.t)
         f = np.array([s[2] for s in segments]).reshape(-1, N_FEATURES)
         scores = f @ self.w.T
-        alpha = self._forward(n, segments, scores)
-        back = [(n - j, n - i, v) for i, j, v in segments]
-        beta = self._forward(n, back, scores)[::-1]
-        z = alpha[n]
+        alpha, on = self._forward(n, segments, scores)
+        beta, begin = self._backward(n, segments, scores)
+        z = _lse(alpha[n])
         value = -z
         if len(segments):
             i, j = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
-            p = np.exp(alpha[i][:, None] + scores + beta[j][:, None] - z)
+            p = np.exp(on[i][:, : self.OUT] + scores + beta[j][:, : self.OUT] - z)
             g -= p.T @ f
             for x, (a, b, v) in enumerate(segments):
                 for k in range(len(KINDS)):
                     if (a, b, k) in gold:
                         g[k] += v
                         value += scores[x, k]
-        return value, g
+        gt -= np.exp(alpha[:-1, :, None] + self.t + begin[:-1, None, :] - z).sum(0)
+        last, at = self.OUT, 0
+        for a, b, k in [*sorted(gold), (n, n, self.OUT)]:
+            labels = ([self.OUT] if a > at else []) + ([k] if a < n else [])
+            gt[self.OUT, self.OUT] += max(0, a - at - 1)
+            for to in labels:
+                gt[last, to] += 1
+                value += self.t[last, to]
+                last = to
+            at = b
+        gt[self.OUT, self.OUT] = 0.0
+        return value, g, gt
 
     def fit(self, data: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 10, rate: float = 0.4, decay: float = 1e-4) -> SemiMarkovCRF:
         ready = []
@@ -210,43 +267,93 @@ class SemiMarkovCRF:
             first, end = {a: i for i, (a, _) in enumerate(tokens)}, {z: i + 1 for i, (_, z) in enumerate(tokens)}
             gold = {(first[a], end[z], KINDS.index(k)) for k, a, z in spans}
             ready.append((len(tokens), lattice(text, tokens), gold))
-        total = np.full_like(self.w, 1e-2)
+        total, total_t = np.full_like(self.w, 1e-2), np.full_like(self.t, 1e-2)
         for _ in range(epochs):
             for n, segments, gold in ready:
-                _, g = self.gradient(n, segments, gold)
+                _, g, gt = self.gradient(n, segments, gold)
                 g -= decay * self.w
+                gt -= decay * self.t
                 total += g * g
+                total_t += gt * gt
                 self.w += rate * g / np.sqrt(total)
+                self.t += rate * gt / np.sqrt(total_t)
         return self
 
-    def decode(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    def decode(self, text: str, start: int, end: int, piece: int = PIECE) -> list[tuple[str, int, int]]:
         """The best segmentation of text[start:end], entities only."""
-        tokens = tokens_of(text, start, end)
-        segments = lattice(text, tokens)
-        if not segments:
-            return []
-        scores = np.array([s[2] for s in segments]) @ self.w.T
-        kind, value = scores.argmax(1), scores.max(1)
-        ending: list[list[int]] = [[] for _ in range(len(tokens) + 1)]
-        for x in np.flatnonzero(value > 0):
-            ending[segments[x][1]].append(int(x))
-        best, back = [0.0], [-1]
-        for j in range(1, len(tokens) + 1):
-            b, k = best[j - 1] + _OUTER, -1
-            for x in ending[j]:
-                v = best[segments[x][0]] + value[x]
-                if v > b:
-                    b, k = v, x
-            best.append(b)
-            back.append(k)
-        out, j = [], len(tokens)
-        while j > 0:
-            if back[j] < 0:
-                j -= 1
-            else:
-                i, e, _ = segments[back[j]]
-                out.append((KINDS[kind[back[j]]], tokens[i][0], tokens[e - 1][1]))
-                j = i
+        out: list[tuple[str, int, int]] = []
+        tokens: list[tuple[int, int]] = []
+        more = _TOKEN.finditer(text, start, end)
+        wanted, ended = piece, False
+        while not ended:
+            while len(tokens) < wanted and not ended:
+                m = next(more, None)
+                ended = m is None
+                if m is not None:
+                    tokens.append(m.span())
+            found = self._possible(text, tokens)
+            cut = len(tokens)
+            if not ended:
+                # A token that no possible entity covers is outside on every best path: what follows doesn't depend on what came.
+                covered = np.zeros(len(tokens) + 1, np.int64)
+                for i, j, _ in found:
+                    covered[i] += 1
+                    covered[j] -= 1
+                free = np.flatnonzero(np.cumsum(covered)[: max(0, len(tokens) - MAX_TOKENS)] == 0)
+                if not len(free):  # possible entities all along: look further
+                    wanted = 2 * len(tokens)
+                    continue
+                cut = int(free[-1]) + 1
+            entities = self._best(cut, [x for x in found if x[1] <= cut])
+            out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in entities]
+            tokens, wanted = tokens[cut:], piece + len(tokens) - cut
+        return out
+
+    def _possible(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, np.ndarray]]:
+        """Segments that could be part of a best segmentation, with their scores by type; no more than ``PIECE`` features at once."""
+        # The most that transitions can give an entity over tokens outside.
+        gain = float(2 * max(0.0, self.t.max()) - min(0.0, self.t.min()))
+        out = []
+        for low in range(0, len(tokens), 512):
+            segments = lattice(text, tokens, low, low + 512)
+            if segments:
+                scores = np.array([s[2] for s in segments]) @ self.w.T
+                out += [(i, j, v) for (i, j, _), v, top in zip(segments, scores, scores.max(1)) if top + gain > 0]
+        return out
+
+    def _best(self, n: int, found: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """Entities (first, end, kind) of the best segmentation of ``n`` tokens."""
+        ending: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        places = {0, n}
+        for i, j, v in found:
+            ending.setdefault(j, []).append((i, j, v))
+            places |= {i, j}
+        best = {0: np.full(self.OUT + 1, -np.inf)}
+        best[0][self.OUT] = 0.0
+        back: dict[tuple[int, int], tuple[int, int]] = {}  # (place, type) to (place, type) before
+        follow = {}
+        order = sorted(places)
+        for p, j in zip([None, *order], order):
+            if p is not None:
+                v = np.full(self.OUT + 1, -np.inf)
+                into, by = follow[p]
+                v[self.OUT] = into[self.OUT]
+                back[j, self.OUT] = (p, int(by[self.OUT]))
+                for i, _, score in ending.get(j, ()):
+                    into, by = follow[i]
+                    for k in np.flatnonzero(into[: self.OUT] + score > v[: self.OUT]):
+                        v[k] = into[k] + score[k]
+                        back[j, int(k)] = (i, int(by[k]))
+                best[j] = v
+            paths = best[j][:, None] + self.t
+            follow[j] = paths.max(0), paths.argmax(0)
+        out = []
+        at, kind = n, int(best[n].argmax())
+        while at > 0:
+            before, was = back[at, kind]
+            if kind != self.OUT:
+                out.append((before, at, kind))
+            at, kind = before, was
         return out[::-1]
 
 
@@ -256,6 +363,7 @@ def training_set(n: int = 240, seed: int = 5) -> list[tuple[str, list[tuple[str,
     word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 9)))
     num = lambda k: "".join(str(x) for x in rng.integers(0, 10, k))
     pick = lambda *x: x[rng.integers(len(x))]
+    upper = lambda k: "".join(rng.choice(list("ABCDEFGHIKLMNOPRST"), k))
     hexa = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
 
     def card() -> str:
@@ -268,11 +376,14 @@ def training_set(n: int = 240, seed: int = 5) -> list[tuple[str, list[tuple[str,
         return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 ({a}) {b}-{c}", f"+{num(2)} {a} {b} {c}", f"{a} {b} {c}")
 
     make = {
-        "email": lambda: pick(f"{word()}.{word()}@{word()}.com", f"{word()}{num(2)}@{word()}.example.org", f"{word()} (at) {word()} (dot) com", f"{word()}[at]{word()}.net"),
+        "email": lambda: pick(f"{word()}.{word()}@{word()}.com", f"{word()}{num(2)}@{word()}.example.org", f"{word()} (at) {word()} (dot) com", f"{word()}[at]{word()}.net", f"{word()}.{word()} (at) {word()}.{word()} (dot) co (dot) uk"),
         "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)),
         "card": card,
         "phone": phone,
-        "iban": lambda: pick("DE", "FR", "ES", "GB") + num(2) + pick("", " ") + " ".join(num(4) for _ in range(4)) + " " + num(2),
+        "iban": lambda: pick(
+            pick("DE", "FR", "ES", "GB") + num(2) + pick("", " ") + " ".join(num(4) for _ in range(4)) + " " + num(2),
+            f"{upper(2)}{num(2)} {upper(4)} {num(4)} {num(4)} {num(4)} {upper(4)} {upper(3)}{num(1)} {num(2)}{upper(1)}",
+        ),
         "id": lambda: f"{num(3)}-{num(2)}-{num(4)}",
         "secret": lambda: pick(hexa(40), hexa(32), "sk_" + "".join(rng.choice(list("abcdefghijkLMNOPQRST0123456789"), 28))),
     }
@@ -330,9 +441,12 @@ def all_spans(text: str, model: SemiMarkovCRF) -> tuple[list[tuple[str, int, int
     """(base spans, all spans), each by start, then kind."""
     base = base_spans(text)
     added = []
+    # Base spans of different kinds may overlap: by start, with the furthest end so far.
+    starts, reach = [b for _, b, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     for a, z in regions(text):
         for k, f, t in model.decode(text, a, z):
-            if not any(f < e and b < t for _, b, e in base):
+            before = bisect.bisect_left(starts, t)
+            if not before or reach[before - 1] <= f:
                 added.append((k, f, t))
     return base, sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -341,8 +455,8 @@ def _join(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
 
 
-def _find(weights: np.ndarray):
-    model = SemiMarkovCRF(weights)
+def _find(weights: np.ndarray, transitions: np.ndarray):
+    model = SemiMarkovCRF(weights, transitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,7 +474,7 @@ def find(docs: DataFrame, model: SemiMarkovCRF | None = None) -> DataFrame:
     """``doc_id``, text (``__t``), base spans and all spans as kind:start:end lists."""
     model = model or SemiMarkovCRF().fit(training_set())
     rows = docs.select("doc_id", F.col("text").cast("string").alias("__t"))
-    return rows.mapInArrow(_find(model.w), extend(rows.schema, "base string, spans string"))
+    return rows.mapInArrow(_find(model.w, model.t), extend(rows.schema, "base string, spans string"))
 
 
 def redact(text: str, spans: str) -> str:
@@ -381,4 +495,5 @@ def _is(kind: str):
 
 def query(docs: DataFrame) -> DataFrame:
     counts = [F.size(F.filter(F.split("base", ","), _is(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return find(docs).select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+    every = F.size(F.filter(F.split("spans", ","), lambda x: x != "")).cast("long")
+    return find(docs).select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", every.alias("n_spans"))
