@@ -1,9 +1,9 @@
 """Line de-duplication with DataFrame functions only.
 
-Lines are exploded with their keys (stripped, A-Z lower-cased), keys are hashed to 128 bits, documents are counted
-per hash, and lines whose key is found in ``min_docs`` documents go, except in the largest ``doc_id`` that holds
+Lines are exploded once with their keys (stripped, A-Z lower-cased), keys are hashed to 128 bits and written as a table (what
+counting and judging both read); documents are counted per hash, and lines whose key is found in ``min_docs`` documents go, except in the largest ``doc_id`` that holds
 it.  What travels is hashes and numbers; the text itself moves once, when the numbers of the lines to drop come
-back to their document, whose other lines are put together again by position.
+back to their document, whose other positions (a hashed set difference, linear in the lines) are put together again.
 
 Hot keys: hashes are aggregated to one row per key and ``doc_id``, then to one per key, both with map-side
 combining; no list of documents is ever built.  A row is known by ``doc_id`` and the hash of its text, so that it is
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 MIN_CHARS = 20
 MIN_DOCS = 3
 BLANK = " \t\n\x0b\x0c\r"
@@ -39,13 +41,13 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     rows = docs.select(F.struct("*").alias("__doc"), F.col("doc_id").alias("__id"), _hash(text).alias("__row"), text.alias("__text"))
     lines = rows.where("__id IS NOT NULL").select("__id", "__row", F.posexplode(F.split("__text", "\n", -1)).alias("pos", "line"))
     long = lines.where(F.char_length("line") >= min_chars).withColumn("key", _key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    keyed = long.select("__id", "__row", "pos", _hash(F.col("key")).alias("h"))
+    keyed = materialise(long.select("__id", "__row", "pos", _hash(F.col("key")).alias("h")), "line-keys")
     often = (
         keyed.groupBy("h", "__id").agg(F.lit(1).alias("one"))
         .groupBy("h").agg(F.count("*").alias("n"), F.max("__id").alias("last"))
         .where(F.col("n") >= min_docs)
     )
-    gone = keyed.join(often, "h").where(F.col("__id") < F.col("last")).groupBy("__id", "__row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = keyed.join(often, "h").where(F.col("__id") < F.col("last")).groupBy("__id", "__row").agg(F.collect_set("pos").alias("gone"))
     return (
         rows.join(gone, ["__id", "__row"], "left")
         .withColumn("__lines", F.split("__text", "\n", -1))
@@ -54,7 +56,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             F.size("__lines").cast("long").alias("n_lines"),
             F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
             F.when(F.col("gone").isNull(), F.col("__text"))
-            .otherwise(F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+            .otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone")), lambda i: F.col("__lines")[i]), "\n"))
             .alias("kept_text"),
         )
     )
