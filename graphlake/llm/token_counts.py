@@ -3,20 +3,24 @@
 Totals by source, language and tokenizer version are additive, so a batch of changes becomes signed rows: +1 and
 +tokens for an insert, -1 and -tokens for a delete, both for a revised document.  A batch is aggregated
 first (map-side combining; a hot source costs one row per task) and then added to the totals.  A commit writes a
-new version of the totals, named after the batch, and then a marker file created with no-overwrite; a batch whose
-marker exists isn't added again, so that a batch may be replayed after any failure.
+new version of the totals and then a marker, written aside and renamed: it is there whole or not at all.  Its name holds
+version and batch, so a listing tells what was committed, and a batch that was isn't added again: a batch may be
+replayed after any failure.  What isn't a whole marker is no commit.
 
 Tokenizers: ``words`` (runs of non-blank characters) and ``utf8`` (bytes) are native expressions; a vocabulary
 file of ranks (its path is a parameter) gives byte-pair counts.
 
 Nulls and edges: null text counts 0 tokens and one document; a null source or language is a group of its own;
-repeated rows count each; a null ``op`` is an insert, an unknown one an error; groups whose documents fall to
+repeated rows count each; a null ``op`` is an insert, an unknown one an error, and so is a revision without a column
+``old_text`` (null there is a null text); groups whose documents fall to
 zero go. An empty batch is committed and changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +63,8 @@ def changes(feed: DataFrame, tokenizers: list[str], ranks: dict[str, str] | None
     has = {c.lower() for c in feed.columns}
     op = F.coalesce(F.col("op"), F.lit("insert")) if "op" in has else F.lit("insert")
     op = F.when(op.isin("insert", "delete", "revise"), op).otherwise(F.raise_error(F.concat(F.lit("unknown op "), op)))
+    if "old_text" not in has:
+        op = F.when(op == "revise", F.raise_error(F.lit("a revision needs old_text"))).otherwise(op)
     old = {c: F.col(f"old_{c}") if f"old_{c}" in has else F.lit(None).cast("string") if c == "text" else F.col(c) for c in ("source", "lang", "text")}
     side = lambda sign, cols: F.struct(F.lit(sign).alias("sign"), *[c.cast("string").alias(k) for k, c in cols.items()])
     now = {c: F.col(c) for c in ("source", "lang", "text")}
@@ -85,39 +91,45 @@ class Rollup:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _markers(self) -> list[dict]:
+    def _markers(self) -> list[tuple[int, str]]:
+        """(version, name) of whole markers; torn ones, which no rename leaves, have no content."""
         at = self._Path(f"{self.path}/_commits")
-        if not self._fs.exists(at):
-            return []
-        out = []
-        for s in self._fs.listStatus(at):
-            if (name := s.getPath().getName()).startswith("v"):
-                f = self._fs.open(s.getPath())
-                try:
-                    out.append(json.loads(bytes(f.readAllBytes()).decode()) | {"version": int(name[1:])})
-                finally:
-                    f.close()
-        return sorted(out, key=lambda m: m["version"])
+        found = [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted((int(n[1:9]), n) for n, size in found if re.fullmatch(r"v\d{8}-[0-9a-f]{32}", n) and size)
+
+    def _read(self, name: str) -> dict:
+        f = self._fs.open(self._Path(f"{self.path}/_commits/{name}"))
+        try:
+            return json.loads(bytes(f.readAllBytes()).decode())
+        finally:
+            f.close()
 
     def committed(self) -> list[str]:
-        return [m["batch"] for m in self._markers()]
+        return [self._read(n)["batch"] for _, n in self._markers()]
 
     def totals(self) -> DataFrame:
         if m := self._markers():
-            return self.spark.read.parquet(f"{self.path}/{m[-1]['data']}")
+            return self.spark.read.parquet(f"{self.path}/{self._read(m[-1][1])['data']}")
         return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Add a batch's signed rows; False if the batch was committed before."""
-        done = self._markers()
-        if batch in [m["batch"] for m in done]:
+        done, mine = self._markers(), hashlib.md5(batch.encode()).hexdigest()
+        if any(n.endswith(mine) for _, n in done):
             return False
-        data = f"totals-{len(done):08d}-{uuid.uuid4().hex}"
+        version = done[-1][0] + 1 if done else 0
+        data = f"totals-{version:08d}-{uuid.uuid4().hex}"
         total = self.totals().unionByName(delta.select(*KEYS, *MEASURES)).groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
-        total.where("n_docs <> 0 OR n_tokens <> 0").coalesce(1).write.parquet(f"{self.path}/{data}")
-        f = self._fs.create(self._Path(f"{self.path}/_commits/v{len(done):08d}"), False)  # no overwrite: of two writers one fails
+        total.where("n_docs <> 0 OR n_tokens <> 0").write.parquet(f"{self.path}/{data}")
+        aside, to = (self._Path(f"{self.path}/_commits/{n}") for n in (f"_{uuid.uuid4().hex}", f"v{version:08d}-{mine}"))
+        f = self._fs.create(aside, False)
         f.write(bytearray(json.dumps({"batch": batch, "data": data}).encode()))
         f.close()
+        if [v for v, _ in self._markers()] != [v for v, _ in done]:
+            raise RuntimeError(f"another writer committed version {version}")
+        self._fs.delete(to, False)
+        if not self._fs.rename(aside, to):
+            raise RuntimeError(f"batch {batch} could not be committed")
         return True
 
 
@@ -128,7 +140,14 @@ def query(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rollup = Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
     rollup.commit("all-documents", changes(docs, TOKENIZERS))
-    rollup.commit("all-documents", changes(docs, TOKENIZERS))  # a replay, which must change nothing
+    # Every document is revised, the revision replayed (which must change nothing), then deleted and inserted again.
+    other = F.concat(F.lit("revised "), F.coalesce("text", F.lit("")))
+    keys = [F.col("source"), F.col("lang")]
+    revised = changes(docs.select(*keys, other.alias("text"), F.col("text").alias("old_text"), F.lit("revise").alias("op")), TOKENIZERS)
+    rollup.commit("revised", revised)
+    rollup.commit("revised", revised)
+    rollup.commit("gone", changes(docs.select(*keys, other.alias("text"), F.lit("delete").alias("op")), TOKENIZERS))
+    rollup.commit("again", changes(docs, TOKENIZERS))
     return rollup.totals()
 
 
