@@ -3,7 +3,8 @@
 Each source gets a mean repetition rate: its target share times all documents over its own.  A document's
 number of copies is the Poisson distribution of that mean, inverted at a uniform number that comes from hashing
 seed and ``doc_id``: the same on every run, machine and layout.  Rows are exploded by their count and ordered
-by another hash, globally: ``mix_key`` is the order and rows are written range-partitioned by it.
+by another hash, globally: ``mix_key`` is the order.  As it is uniform, equal stretches of it are the partitions: no
+sample of the rows is needed to find their bounds, so copies are drawn once.
 
 Hot sources: rates need one count per source, combined before the shuffle; copies are made after a broadcast of
 the rates if the number of sources is at most ``MAX_BROADCAST`` (counted), else after a join.
@@ -75,9 +76,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     out = copies.withColumn("__key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.coalesce(F.col("__id").cast("string"), F.lit("<null>")), F.col("__copy").cast("string"))))
     if shuffle:
-        out = out.repartitionByRange("__key").sortWithinPartitions("__key", "__id", "__copy")
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        place = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("int")
+        out = out.repartitionById(parts, place).sortWithinPartitions("__key", "__id", "__copy")
     taken = {c.lower() for c in docs.columns}
-    name = lambda c: c if c not in taken else f"{c}_mix"
+
+    def name(c: str) -> str:
+        while c in taken:
+            c += "_mix"
+        return c
+
     return out.select("__doc.*", F.col("__copy").cast("long").alias(name("copy")), F.col("__key").alias(name("mix_key")))
 
 
@@ -93,7 +101,7 @@ drawn AS (
   FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 cdf AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c
-  FROM (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, range(0, 200) t(k))),
+  FROM (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, (SELECT unnest(range(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 30)::BIGINT FROM rates))) AS k))),
 copies AS (
   SELECT d.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c < d.u) AS n FROM drawn d)
 SELECT {cols}, copy, md5('20240117:order:' || coalesce(doc_id::VARCHAR, '<null>') || ':' || copy::VARCHAR) AS mix_key
