@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,29 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..sources.store import settle as materialise
+from ..sources.store import shared_dir
+
+__all__ = ["materialise", "shared_dir"]
 #: Bytes of text that numpy code looks at in one go; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 18
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="graphlake-"))
-        where = _own_dir[0]
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, files survive."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _shipped: set[str] = set()
 
 
