@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -117,6 +118,36 @@ def test_token_counts_match_sql_and_are_idempotent(spark, docs):
     bad = spark.createDataFrame([("a", "x", "en", "upsert")], "text string, source string, lang string, op string")
     with pytest.raises(Exception, match="unknown op"):
         token_counts.changes(bad, ["words-v1"]).collect()
+    lone = spark.createDataFrame([("a", "x", "en", "revise")], "text string, source string, lang string, op string")
+    with pytest.raises(Exception, match="old_text"):
+        token_counts.changes(lone, ["words-v1"]).collect()
+    blank = spark.createDataFrame([(None, "x", "en", "insert", 1), ("", None, "en", None, 2)], "text string, source string, lang string, op string, n long")
+    assert sorted(tuple(r) for r in token_counts.changes(blank, ["utf8-v1"]).collect() if r.source) == [("x", "en", "utf8-v1", 1, 0)]
+    assert token_counts.query(docs.limit(0)).count() == 0
+
+
+def test_token_counts_survive_a_torn_marker(spark):
+    roll = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-torn-{random.random()}")
+    rows = spark.createDataFrame([("a b", "x", "en")], "text string, source string, lang string")
+    assert roll.commit("b1", token_counts.changes(rows, ["words-v1"]))
+    folder = roll.path.removeprefix("file://") + "/_commits"
+    name = f"v00000001-{hashlib.md5(b'b2').hexdigest()}"
+    open(f"{folder}/{name}", "w").close()  # as if the writer had died in the middle
+    open(f"{folder}/_aside", "w").close()
+    assert roll.committed() == ["b1"] and roll.totals().first().n_tokens == 2
+    assert roll.commit("b2", token_counts.changes(rows, ["words-v1"])) and not roll.commit("b2", token_counts.changes(rows, ["words-v1"]))
+    assert roll.committed() == ["b1", "b2"] and roll.totals().first().n_tokens == 4
+
+
+def test_token_counts_by_vocabulary(spark, tmp_path):
+    ship(spark)
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"ab", b"abab"]
+    path = tmp_path / "ranks.txt"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(ranks)))
+    rows = spark.createDataFrame([("ababab", "x", "en"), (None, "x", "en"), ("", "x", "en")], "text string, source string, lang string")
+    assert [tuple(r) for r in token_counts.changes(rows, ["bpe-v1"], {"bpe-v1": str(path)}).collect()] == [("x", "en", "bpe-v1", 3, 2)]
 
 
 # --- 3 ---
@@ -387,6 +418,8 @@ def test_mixing_matches_sql_and_targets(spark, docs):
     with pytest.raises(ValueError):
         mixing.mix(many, {"hot": -1.0})
     assert mixing.mix(docs.limit(0)).count() == 0
+    clash = mixing.mix(many.withColumns({"copy_mix": F.lit(1), "mix_key": F.lit(2)}))
+    assert clash.columns[-2:] == ["copy_mix_mix", "mix_key_mix"]
 
 
 def test_mixing_inverts_large_means(spark):
@@ -415,6 +448,17 @@ def test_line_dedup_matches_sql(spark, docs):
     assert line_dedup.query(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_text_of_very_many_lines(spark):
+    """300,000 lines of which half go: the cost must not be the product."""
+    lines = [f"this line is number {i} of them" for i in range(300_000)]
+    rows = [(9, "\n".join(lines), "", "", 0), (10, "\n".join(lines[::2]), "", "", 0), (11, "\n".join(lines[::2]), "", "", 0)]
+    began = time.monotonic()
+    got = by_id(line_dedup.query(spark.createDataFrame(rows, SCHEMA)))
+    assert [(got[d].n_lines, got[d].n_dropped) for d in (9, 10, 11)] == [(300_000, 150_000), (150_000, 150_000), (150_000, 0)]
+    assert got[9].kept_sha256 == hashlib.sha256("\n".join(lines[1::2]).encode()).hexdigest()
+    assert time.monotonic() - began < 60
+
+
 # --- 10 ---
 
 
@@ -448,35 +492,98 @@ def test_pii(spark, docs):
         assert base == ",".join(pii_brute(t or "")), t
         assert set(filter(None, base.split(","))) <= set(spans.split(","))
     assert got[0].spans == "" and got[1].spans == ""
+    clash = docs.withColumns({"__t": F.lit(1), "spans": F.lit(2), "base": F.lit(3)})
+    assert pii.find(clash, model).count() == len(corpus()) and pii.query(docs.limit(0)).count() == 0
     r = by_id(pii.query(spark.createDataFrame(rows[:3], SCHEMA)))[2000]
     assert r.base_sha256 == hashlib.sha256(got[2000].base.encode()).hexdigest() and r.n_email == sum(s.startswith("email") for s in got[2000].base.split(","))
+    assert r.n_spans == len([x for x in r.spans.split(",") if x])
     hit = found = truth = 0  # held out
     for t, gold in pii.training_set(150, 77):
         mine = set(model.decode(t, 0, len(t)))
         hit, found, truth = hit + len(mine & set(gold)), found + len(mine), truth + len(gold)
     assert hit / found > 0.93 and hit / truth > 0.93
+    for said, kind in (("MT84 MALT 0110 0001 2345 MTLC AST0 01S", "iban"), ("jane.doe (at) mail.example (dot) co (dot) uk", "email")):  # the longest forms
+        assert f"{kind}:9:{9 + len(said)}" in pii._join(pii.all_spans(f"write to {said} today", model)[1]), said
     assert pii.redact("call +1 (974) 555-3436 now", "phone:5:22") == "call <phone> now"
 
 
 def test_crf_recursion_matches_enumeration():
     rng = np.random.default_rng(1)
-    crf = pii.SemiMarkovCRF(rng.normal(0, 1, (len(pii.KINDS), pii.N_FEATURES)))
-    segments = [(0, 1, rng.normal(0, 1, pii.N_FEATURES)), (0, 2, rng.normal(0, 1, pii.N_FEATURES)), (1, 3, rng.normal(0, 1, pii.N_FEATURES)), (2, 3, rng.normal(0, 1, pii.N_FEATURES))]
+    kinds, out = len(pii.KINDS), len(pii.KINDS)
+    crf = pii.SemiMarkovCRF(rng.normal(0, 1, (kinds, pii.N_FEATURES)), rng.normal(0, 1, (kinds + 1, kinds + 1)))
+    crf.t[out, out] = 0
+    segments = [(i, j, rng.normal(0, 1, pii.N_FEATURES)) for i, j in ((0, 1), (0, 2), (1, 3), (2, 3))]
 
-    def paths(at):
+    def paths(at, last):
         if at == 3:
-            yield 0.0
+            yield 0.0, []
             return
-        for s in paths(at + 1):
-            yield s
+        for s, x in paths(at + 1, out):
+            yield s + crf.t[last, out], x
         for i, j, f in segments:
             if i == at:
-                for score in crf.w @ f:
-                    for s in paths(j):
-                        yield s + score
-
-    z = np.log(sum(math.exp(s) for s in paths(0)))
-    value, grad = crf.gradient(3, segments, {(0, 1, 2)})
-    assert math.isclose(value, crf.w[2] @ segments[0][2] - z, rel_tol=1e-9)
-    crf.w[2, 0] += 1e-6
-    assert math.isclose((crf.gradient(3, segments, {(0, 1, 2)})[0] - value) / 1e-6, grad[2, 0], rel_tol=1e-3, abs_tol=1e-5)
+                for k, score in enumerate(crf.w @ f):
+                    for s, x in paths(j, k):
+                        yield s + score + crf.t[last, k], [(i, j, k), *x]
+
+    every = list(paths(0, out))
+    z = np.log(sum(math.exp(s) for s, _ in every))
+    for gold in ({(0, 1, 2), (2, 3, 4)}, {(0, 1, 2), (1, 3, 0)}, set()):
+        value, grad, grad_t = crf.gradient(3, segments, gold)
+        assert math.isclose(value, next(s for s, x in every if set(x) == gold) - z, rel_tol=1e-9)
+        for array, g, at in ((crf.w, grad, (2, 0)), (crf.w, grad, (4, 1)), (crf.t, grad_t, (2, out)), (crf.t, grad_t, (out, 2)), (crf.t, grad_t, (2, 0))):
+            array[at] += 1e-6
+            assert math.isclose((crf.gradient(3, segments, gold)[0] - value) / 1e-6, g[at], rel_tol=1e-3, abs_tol=1e-5)
+            array[at] -= 1e-6
+    best = max(every, key=lambda x: x[0])
+    found = [(i, j, crf.w @ f) for i, j, f in segments]
+    assert crf._best(3, found) == best[1]
+
+
+def test_decoding_in_pieces_changes_nothing():
+    model = pii.SemiMarkovCRF().fit(pii.training_set(60, 5), epochs=3)
+    rng = random.Random(3)
+    for text, _ in pii.training_set(30, 9):
+        text = " ".join([*rng.sample(text.split(" "), len(text.split(" "))), text, *text.split(" "), text])
+        assert model.decode(text, 0, len(text), 40) == model.decode(text, 0, len(text), 1 << 20)
+
+
+def test_pii_of_long_runs_takes_linear_time():
+    began = time.monotonic()
+    for text in ("7" * 1_000_000, "1." * 300_000, "a" * 1_000_000 + "@", "a@" * 300_000, "+1" * 100_000):
+        spans = pii.base_spans(text)
+        small = text[: 400]
+        assert [f"{k}:{a}:{z}" for k, a, z in pii.base_spans(small)] == pii_brute(small)
+        assert all(z <= len(text) for _, _, z in spans)
+    model = pii.SemiMarkovCRF().fit(pii.training_set(40, 5), epochs=2)
+    pii.all_spans("1 22 333 4444 " * 2000 + "7" * 200_000, model)
+    assert time.monotonic() - began < 60
+    assert pii.base_spans("x" + "a" * 300_000 + "@b.cd")[0] == ("email", 0, 300_006)
+
+
+# --- texts over several blocks ---
+
+
+def test_texts_longer_than_a_block(spark):
+    """Texts of more than 256 KB, each a block of its own, give what shorter ones would."""
+    ship(spark)
+    rng = random.Random(21)
+    long = prose(rng, 90_000, 5000)
+    assert len(long) > 2 * (1 << 18)
+    item = prose(random.Random(5), 30, 4000)
+    mit = license_scan.TEMPLATES[1][1]
+    near = long.split(" ")
+    for k in rng.sample(range(len(near)), 800):
+        near[k] = "zz"
+    rows = [(1, long + " " + item + " " + mit + " write to me.now@example.com", "en", "a", 0), (2, " ".join(near), "en", "a", 0), (3, long, "en", "a", 0), (4, prose(rng, 50), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = {d: t for d, t, *_ in rows}
+    licence = by_id(license_scan.query(docs))
+    assert [licence[d].labels for d in (1, 2, 3)] == ["mit", "", ""] and licence[2].n_words == len(license_scan.words_of(texts[2]))
+    quality = by_id(quality_rules.query(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert [quality[d].n_words for d in (1, 2, 3)] == [len(blank_words(texts[d])) for d in (1, 2, 3)]
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.find(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()} == {(1, 7, 0)}
+    assert {d: r.n_words for d, r in by_id(lm_score.score(docs)).items()} == {d: len(blank_words(t)) for d, t in texts.items()}
+    assert {d: r.component_id for d, r in by_id(minhash_forest.link(docs)).items()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    private = by_id(pii.query(docs))
+    assert private[1].n_email == 1 and f"email:{texts[1].index('me.now')}:{len(texts[1])}" == private[1].spans
