@@ -1,11 +1,11 @@
 """Near-duplicate documents by an LSH forest.
 
 Each document's set of word shingles is hashed to ``TREES`` short MinHash signatures of ``DEPTH`` values.  Every
-tree is a sorted order of signatures; documents that agree in the first ``ROOT`` values of a tree make up a region,
-and inside a region a document's candidates are its neighbours in the order, which are those with the longest
-common prefix.  Depth adapts: in a region of at most ``WINDOW`` + 1 documents all meet (depth ``ROOT``); in a denser
-one each first meets the ``WINDOW`` next in the order, which agree with it as deeply as the region is dense, and the
-region's least document.  Candidates are confirmed on full sets.
+tree is a sorted order of signatures; documents that agree in the first ``ROOT`` values of a tree make up a region.
+Depth adapts by region: one of more than ``REGION`` documents is deepened by the next value, and so are its parts, down to
+``DEPTH`` values.  Inside a region a document's candidates are its neighbours in the order, which are those with the longest
+common prefix: the ``WINDOW`` next ones and the region's least document, so in a region of at most ``WINDOW`` + 1 all
+meet.  Candidates are confirmed on full sets.
 
 Confirmation in three rounds: first each document with the candidate it shares most trees with, which already joins
 most groups; then all candidates that still lie in different components; then, in every region denser than the
@@ -19,7 +19,7 @@ region's different texts that stay apart.
 
 Equal sets are one class from the start (128-bit hash of the set), so copies, however many, cost a row each.
 Regions are keyed by tree and prefix: a region can be large only if that many *different* texts resemble each
-other; it is streamed and at most one block of it is held.  Recall of a link at similarity s, by one tree alone, is
+other; deepening spreads it over tasks, and each is streamed.  Recall of a link at similarity s, by one tree alone, is
 s ** ROOT: at 0.8 and 24 trees a link is missed with probability 6e-6, however dense its regions are.
 
 Nulls and edges: empty or null text has no set: 0 shingles, its own component.  A null ``doc_id`` is linked with
@@ -43,6 +43,8 @@ TREES = 24
 DEPTH = 6
 ROOT = 3
 WINDOW = 12
+#: Documents of a region beyond which it is deepened.
+REGION = 1024
 #: Mass of a block of a dense region: shingles, and as many as ``ROW_MASS`` for each document besides.
 BLOCK_MASS = 1 << 20
 ROW_MASS = 256
@@ -241,6 +243,25 @@ def _all_pairs(words: int, percent: int):
     return run
 
 
+def deepened(tree: DataFrame, levels: int, limit: int) -> DataFrame:
+    """``tree`` (cid, region, rest) with regions of more than ``limit`` documents parted by the next values of ``rest``, level by level.
+
+    Adds ``head``, the region's least document; regions of one are left out.  Each level counts by region, with
+    map-side combining, and only rows of regions that were too large go on to the next.
+    """
+    done = None
+    for level in range(levels + 1):
+        sizes = tree.groupBy("region").agg(F.count("*").alias("__n"), F.min("cid").alias("head")).where("__n > 1")
+        sized = tree.join(sizes.hint("merge"), "region")
+        last = level == levels
+        fits = (sized if last else sized.where(F.col("__n") <= limit)).drop("__n")
+        done = fits if done is None else done.unionByName(fits)
+        if not last:
+            deeper = F.xxhash64("region", F.lit(level), F.substring("rest", 4 * level + 1, 4))
+            tree = sized.where(F.col("__n") > limit).select("cid", deeper.alias("region"), "rest")
+    return done
+
+
 def crowd_links(tree: DataFrame, roots: DataFrame, docs: DataFrame, words: int, percent: int, window: int, block_mass: int = BLOCK_MASS) -> DataFrame:
     """Links between the components ``roots`` (node, root) that join all similar documents of any region denser than the window.
 
@@ -278,7 +299,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return full.select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct()
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, root: int = ROOT, window: int = WINDOW) -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, root: int = ROOT, window: int = WINDOW, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs`` (``doc_id`` long, ``text``)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign(words, trees, depth), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
@@ -287,8 +308,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
     classes = materialise(by_set, "classes")
     spans = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("byte").alias("t"), F.substring(F.col("sig"), t * 4 * depth + 1, F.lit(4 * depth)).alias("s")))
     tree = classes.select("cid", "n", F.explode(spans).alias("x")).select("cid", "n", F.xxhash64(F.col("x.t"), F.substring("x.s", 1, 4 * root)).alias("region"), F.substring("x.s", 4 * root + 1, 4 * (depth - root)).alias("rest"))
-    crowds = tree.groupBy("region").agg(F.count("*").alias("n"), F.min("cid").alias("head")).where("n > 1").drop("n")
-    sorted_trees = tree.drop("n").join(crowds.hint("merge"), "region").repartition("region").sortWithinPartitions("region", "rest", "cid")
+    sorted_trees = deepened(tree.select("cid", "region", "rest"), depth - root, region).repartition("region").sortWithinPartitions("region", "rest", "cid")
     found = sorted_trees.select("region", "cid", "head").mapInArrow(_neighbours(window), "a long, b long")
     pairs = materialise(found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
 
