@@ -2,9 +2,10 @@
 
 Every rolling window of ``k`` words of every text is hashed and joined to the positions of the templates' windows.
 A hit at text word *p* and template word *q* votes for the diagonal *p - q*; votes are summed by diagonal,
-diagonals next to each other (up to ``slack`` words inserted or left out) are merged into one span, and a
-span is verified: its hits carry the words themselves, so only equal wordings count, and the template words they
-cover must be ``coverage`` of the template.
+diagonals next to each other (up to ``slack`` words inserted or left out) are merged into one span, spans of a
+template that follow each other in text and template, at most ``gap`` words apart, are chained (a name or a copyright
+line put in), and a chain is verified: its hits carry the words themselves, so only equal wordings count, and the
+template words they cover must be ``coverage`` of the template.
 
 The templates are a fixed list (some hundreds of words); their windows are the build side of a broadcast
 join.  Ahead of the join, windows whose hash isn't among the templates' are left out where they arise, as a
@@ -29,6 +30,7 @@ from .license_templates import TEMPLATES
 
 K = 4
 SLACK = 3
+GAP = 30
 COVERAGE = 0.6
 BASE = [("apache license", "apache"), ("general public license", "gpl"), ("mit license", "mit")]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,7 +76,7 @@ def _scan(wanted: np.ndarray, k: int):
                 n_base = np.zeros(n, np.int64)
                 lo, hi = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
                 labels = [[] for _ in range(n)]
-                for p, label in BASE and phrases:
+                for p, label in phrases:
                     m = len(h) - len(p) + 1
                     if m <= 0:
                         continue
@@ -113,7 +115,7 @@ def _scan(wanted: np.ndarray, k: int):
     return run
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, slack: int = SLACK, coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int = K, slack: int = SLACK, coverage: float = COVERAGE, gap: int = GAP) -> DataFrame:
     """One row per document: base numbers and ``spans``, an array of (label, template, start, end, score) in words."""
     spark = docs.sparkSession
     windows = template_windows(templates, k)
@@ -137,6 +139,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int =
         .groupBy(*base, "template", "label", "length", "group")
         .agg(F.min("lo").alias("start"), (F.max("hi") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
     )
+    # Spans go on with the chain if they come soon after it in the text and later than it in the template.
+    by_place = Window.partitionBy("row", "template").orderBy("start", "end")
+    soon = F.col("start") - F.lag("end").over(by_place) <= gap
+    later = F.array_min("qs") > F.lag(F.array_min("qs")).over(by_place)
+    merged = (
+        merged.withColumn("chain", F.sum(F.when(F.coalesce(soon & later, F.lit(True)), 0).otherwise(1)).over(by_place))
+        .groupBy(*base, "template", "label", "length", "chain")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("qs"))
+    )
     # A template word is covered if one of the windows that hold it was hit.
     covered = F.size(F.array_distinct(F.flatten(F.transform("qs", lambda q: F.sequence(q, q + (k - 1))))))
     span = F.struct("label", "template", "start", "end", (covered / F.col("length")).alias("score"))
@@ -154,3 +165,19 @@ def query(docs: DataFrame) -> DataFrame:
     best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best)
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.concat_ws(",", labels).alias("labels"), score.alias("score"))
+
+
+#: The base columns of the query alone, which SQL can tell.
+BASE_COLUMNS = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+BASE_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+p AS (SELECT r, unnest(range(0, len(l))) AS i, unnest(l) AS a, unnest(l[2:]) AS b, unnest(l[3:]) AS c FROM w),
+hit AS (
+  SELECT r, i, 'mit' AS label FROM p WHERE a = 'mit' AND b = 'license'
+  UNION ALL SELECT r, i, 'apache' FROM p WHERE a = 'apache' AND b = 'license'
+  UNION ALL SELECT r, i, 'gpl' FROM p WHERE a = 'general' AND b = 'public' AND c = 'license'),
+h AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels
+FROM w LEFT JOIN h ON h.r = w.r
+"""
