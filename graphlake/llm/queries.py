@@ -31,10 +31,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": _over(pii.query, "documents"),
 }
 
+#: The columns of three of them that SQL can tell, each of the same run of the operator over the whole table.
+for name, module, tables in (("op1_license_scan", license_scan, ["documents"]), ("op3_quality_rules", quality_rules, ["documents", "labels"]), ("op10_pii", pii, ["documents"])):
+    QUERIES["base_of_" + name] = _over(lambda *t, module=module: module.query(*t).select(*module.BASE_COLUMNS), *tables)
+
 ORACLE_SQL: dict[str, str] = {
     "op2_token_counts": token_counts.QUERY_SQL,
     "op6_minhash_forest": minhash_forest.QUERY_SQL,
     "op7_suffix_dedup": suffix_dedup.QUERY_SQL,
     "op8_mixing": mixing.QUERY_SQL,
     "op9_line_dedup": line_dedup.QUERY_SQL,
+    "base_of_op1_license_scan": license_scan.BASE_SQL,
+    "base_of_op3_quality_rules": quality_rules.BASE_SQL,
+    "base_of_op10_pii": pii.BASE_SQL,
 }

@@ -103,6 +103,58 @@ def test_license_base_and_spans(spark, docs):
         assert got[d]["n_base"] == 0 and got[d]["first_word"] is None and got[d]["labels"] == ""
 
 
+def votes_brute(text, templates, k, slack, coverage, gap):
+    """Diagonal voting by plain loops."""
+    words, out = license_scan.words_of(text or ""), []
+    for t, (label, said) in enumerate(templates):
+        tw = license_scan.words_of(said)
+        hits = [(p - q, p, q) for p in range(len(words) - k + 1) for q in range(len(tw) - k + 1) if words[p : p + k] == tw[q : q + k]]
+        groups = []
+        for d, p, q in sorted(hits):
+            if not groups or d - groups[-1][-1][0] > slack:
+                groups.append([])
+            groups[-1].append((d, p, q))
+        spans = sorted((min(p for _, p, _ in g), max(p for _, p, _ in g) + k, frozenset(q for _, _, q in g)) for g in groups)
+        chains = []
+        for i, (a, z, qs) in enumerate(spans):
+            if not chains or a - spans[i - 1][1] > gap or min(qs) <= min(spans[i - 1][2]):
+                chains.append([])
+            chains[-1].append((a, z, qs))
+        for c in chains:
+            covered = {q + x for _, _, qs in c for q in qs for x in range(k)}
+            if len(covered) >= coverage * len(tw):
+                out.append((label, t, min(a for a, _, _ in c), max(z for _, z, _ in c), round(len(covered) / len(tw), 9)))
+    return sorted(out)
+
+
+def test_license_votes_match_brute_force(spark):
+    ship(spark)
+    rng = random.Random(17)
+    pool = [f"t{i}" for i in range(14)]
+    templates = [("one", " ".join(rng.choice(pool) for _ in range(25))), ("two", " ".join(rng.choice(pool) for _ in range(40)))]
+    rows = list(AWKWARD)
+    for i in range(80):
+        words = [rng.choice(pool) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(1, 4)):
+            said = rng.choice(templates)[1].split()
+            for _ in range(rng.randrange(0, 4)):
+                x = rng.randrange(len(said))
+                said[x : x + rng.randrange(0, 2)] = [rng.choice(pool) for _ in range(rng.randrange(0, 8))]
+            words += said + [rng.choice(pool) for _ in range(rng.randrange(0, 40))]
+        rows.append((100 + i, " ".join(words), "en", "a", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = {r.doc_id: sorted((s.label, s.template, s.start, s.end, round(s.score, 9)) for s in r.spans) for r in license_scan.scan(docs, templates, 3, 2, 0.5, 6).collect()}
+    want = {d: votes_brute(t, templates, 3, 2, 0.5, 6) for d, t, *_ in rows}
+    assert got == want and sum(map(len, want.values())) > 60
+    mit = license_scan.TEMPLATES[1][1].split()
+    for more in (4, 12, 20):  # words put in at the middle
+        text = " ".join([*mit[: len(mit) // 2], *(f"x{i}" for i in range(more)), *mit[len(mit) // 2 :]])
+        assert license_scan.query(spark.createDataFrame([(1, text, "en", "a", 0)], SCHEMA)).first().labels == "mit"
+    assert license_scan.query(docs.limit(0)).count() == 0
+    clash = docs.withColumns({"row": F.lit(1), "t": F.lit(2), "n_words": F.lit(3), "hits": F.lit(4)})
+    assert license_scan.query(clash).count() == len(rows)
+
+
 # --- 2 ---
 
 
@@ -300,6 +352,8 @@ def test_near_duplicates_match_brute_force(spark):
     for words in (4, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.link(docs, words).collect()}
         assert got == components_brute(rows, words)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.link(docs, 5, region=6).collect()}
+    assert got == components_brute(rows, 5)  # regions deepened down to all values
     kept = minhash_forest.keep_one(docs.withColumns({"root": F.lit(1), "n": F.lit(2)}).unionByName(docs.withColumns({"root": F.lit(1), "n": F.lit(2)})))
     want = sorted(d for d, (_, c) in components_brute(rows, 5).items() if d is not None and d == c)
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == want
@@ -343,6 +397,37 @@ def test_dense_regions_lose_no_pair_across_blocks(spark):
         assert {d: joined.get(d, d) for d in want} == {d: c for d, (_, c) in want.items()}
 
 
+def test_regions_are_deepened_where_they_are_dense(spark):
+    word = lambda x: x.to_bytes(4, "big")
+    rows = [(i, 1, word(i % 2) + word(i % 4) + word(i)) for i in range(40)] + [(100 + i, 2, word(0) * 3) for i in range(3)] + [(200, 3, word(0) * 3)]
+    tree = spark.createDataFrame(rows, "cid long, region long, rest binary")
+    parts = {}
+    for r in minhash_forest.deepened(tree, 3, 12).collect():
+        parts.setdefault(r.region, []).append(r.cid)
+        assert r.head <= r.cid
+    assert sorted(sorted(x) for x in parts.values()) == sorted([*(list(range(k, 40, 4)) for k in range(4)), [100, 101, 102]])
+    deep = minhash_forest.deepened(tree, 3, 2).collect()
+    assert {r.region for r in deep if r.cid >= 100} and not [r for r in deep if r.cid == 200]
+
+
+def test_planted_links_in_a_crowd_are_found(spark):
+    """Texts at a mutual similarity of about 0.74, some with a partner above 0.8."""
+    ship(spark)
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(340)]
+    rows = []
+    for i in range(400):
+        w = base + [f"u{i}x{k}" for k in range(60)]
+        rows.append((2 * i, " ".join(w), "en", "hot", 0))
+        if i % 8 == 0:
+            v = base + [f"u{i}x{k}" for k in range(30)] + [f"v{i}x{k}" for k in range(30)]
+            rows.append((2 * i + 1, " ".join(v), "en", "hot", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash_forest.link(docs, 5).collect()}
+    want = {d: c for d, (_, c) in components_brute(rows, 5).items()}
+    assert len({c for c in want.values()}) == 400 and got == want
+
+
 # --- 7 ---
 
 
