@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,6 +488,35 @@ def test_suffix_dedup_of_a_long_document(spark):
     assert got == [(1, 400, 0, 0), (2, len(long), 400, 1)]
 
 
+def test_suffix_dedup_asks_for_little_where_only_anchors_are_shared():
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    twice = letters(70)
+    texts = [letters(80) + " a phrase in all of them " + letters(80) for _ in range(200)] + [letters(60) + twice + letters(60) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(202), pa.int64()), pa.array([0] * 202, pa.int32()), pa.array(texts)], ["doc_id", "slot", "text"])
+    for hot in ([], range(16)):
+        spread = suffix_dedup.Spread(1, 5, np.array(hot, np.uint64))
+        told = pa.Table.from_batches(suffix_dedup._judge(spread)(suffix_dedup._contexts(spread, 50)(iter([batch])))).to_pydict()
+        asked = [d for d, k in zip(told["doc_id"], told["key"]) if k & 1]
+        lost = [d for d, k in zip(told["doc_id"], told["key"]) if not k & 1]
+        assert set(lost) <= {201} and {200, 201} <= {*asked, *lost, 200} and len(asked) < 60, hot
+
+
+def test_suffix_dedup_sends_one_blob_a_bucket_for_many_blocks():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(100_000)) for _ in range(10)]
+    spread = suffix_dedup.Spread(64, 9, np.zeros(0, np.uint64))
+    keys = []
+    for x in texts:
+        data = np.frombuffer(x.encode(), np.uint8)
+        found = suffix_dedup.anchors(data, np.array([0, len(data)]), 50)
+        keys.append((suffix_dedup._key(found[0], found[4]) | np.uint64(1)).view(np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array([0] * 10, pa.int32()), pa.array(texts), pa.array(keys)], ["doc_id", "slot", "text", "keys"])
+    sent = pa.Table.from_batches(suffix_dedup._fetch(spread, 50)(iter([batch])))
+    contexts = sum(len(suffix_dedup._unpack(b, "<u8", "<i8", "<u8", "<u4", "u1", "u1", "raw")[0]) for b in sent.column("blob").to_pylist())
+    assert contexts == sum(map(len, keys)) and len(sent) <= 64
+
+
 # --- 8 ---
 
 
