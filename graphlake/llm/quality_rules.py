@@ -1,13 +1,14 @@
 """Quality rules: base text statistics and a hashed n-gram log-likelihood ratio.
 
 Words and word pairs are hashed into ``BUCKETS`` cells.  Two multinomials over the cells are fitted: one on the
-trusted target (labelled good and not toxic), one on the whole raw corpus.  A document's score is the mean over
+trusted target (all documents labelled good and not toxic), one on the whole raw corpus.  A document's score is the mean over
 its cells of ``log((target + a) / (expected + a))``, where *expected* is the count the raw multinomial gives for a
-sample of the target's size, so that cells with little evidence weigh nothing.  The cut is fitted on the labelled
-sample (at most ``FALSE_REJECTS`` of its good rows may fall below) and is then the same for every document.
+sample of the target's size, so that cells with little evidence weigh nothing.  The cut is fitted on all
+labelled documents (at most ``FALSE_REJECTS`` of the good ones may fall below) and is then the same for every document.
 
-Bounds: cells are fixed (two vectors of ``BUCKETS`` numbers are all that reaches the driver); the labelled sample
-is the ``MAX_LABELLED`` rows of smallest hashed id.  Corpus counts cover every document.
+Bounds: cells are fixed (vectors of ``BUCKETS`` numbers are what reaches the driver), and so is the bitmap of ``BITS`` hashed ids that
+leaves out most documents without a label before the rest meet the labels in a join.  Cuts are found by a histogram of scores and in
+one bin of it.
 
 Nulls and edges: a null text has no words and fails; a null ``doc_id`` is scored like any other and is never
 taken as labelled; repeated rows are scored each; label rows with nulls don't count, of repeated labels
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, extend, grams, mix, prefix_sums, runs, span_hashes, utf8_blocks
+from .common import NOT_SPACE, extend, grams, materialise, mix, prefix_sums, runs, span_hashes, utf8_blocks
 
 BUCKETS = 1 << 18
-MAX_LABELLED = 20_000
+BITS = 25
+BINS = 1 << 12
 FALSE_REJECTS = 0.002
 PRIOR = 4.0
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -86,25 +88,38 @@ def base_statistics(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np
     return out, h, doc
 
 
-def _count(ids: np.ndarray):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for _, _, data, offsets in utf8_blocks(b.column("t")):
+            _, _, doc, h, _ = _words(data, offsets)
+            total += np.bincount(_cells(h, doc)[0].astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+
+def _maybe(bitmap: np.ndarray):
+    """Rows whose id's bit is set: all labelled ones, and some others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            doc_ids = b.column(0)
-            known = ~np.asarray(doc_ids.is_null()) & np.isin(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), ids)
-            for i, j, data, offsets in utf8_blocks(b.column(1)):
-                _, _, doc, h, _ = _words(data, offsets)
-                cell, cdoc = _cells(h, doc)
-                cell = cell.astype(np.int64)
-                raw += np.bincount(cell, minlength=BUCKETS)
-                if known[i:j].any():
-                    target += np.bincount(cell[known[i:j][cdoc]], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["cell", "raw", "target"])
+            ids = b.column("d")
+            bit = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)
+            yes = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
+            yield b.filter(pa.array((yes > 0) & ~np.asarray(ids.is_null())))
 
     return run
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids to (byte, its bits), each byte once a batch."""
+    for b in batches:
+        bit = np.unique(mix(b.column("d").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+        at, first = np.unique(bit >> 3, return_index=True)
+        some = np.bitwise_or.reduceat(1 << (bit & 7), first) if len(at) else at
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(some)], ["at", "bits"])
+
+
 _OUT = "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -125,64 +140,61 @@ def _score(table: np.ndarray | None):
     return run
 
 
-def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> np.ndarray:
-    """At most ``limit`` labelled rows as an array of (doc_id, good, trusted)."""
-    rows = (
-        labels.select(F.col("doc_id").cast("long").alias("d"), F.col("quality").alias("q"), F.col("toxic").alias("t"))
-        .dropna()
-        .groupBy("d")
-        .agg(F.min("q").alias("q"), F.max("t").alias("t"))
-        .orderBy(F.xxhash64("d"), "d")
-        .limit(limit)
-        .toPandas()
-    )
-    good = (rows["q"] > 0).to_numpy(bool)
-    return np.stack([rows["d"].to_numpy(np.int64), good, good & (rows["t"] == 0).to_numpy(bool)], 1) if len(rows) else np.zeros((0, 3), np.int64)
-
-
-def llr_table(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each cell, from the counts over all of ``docs``."""
-    counts = (
-        docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t"))
-        .mapInArrow(_count(np.sort(trusted)), "cell long, raw long, target long")
-        .groupBy("cell")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .toPandas()
-    )
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[counts["cell"]], target[counts["cell"]] = counts["raw"], counts["target"]
+def labelled(labels: DataFrame) -> DataFrame:
+    """A row (d, good, trusted) of each labelled document."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("d"), F.col("quality").alias("q"), F.col("toxic").alias("t")).dropna()
+    return rows.groupBy("d").agg((F.min("q") > 0).alias("good"), ((F.min("q") > 0) & (F.max("t") == 0)).alias("trusted"))
+
+
+def bitmap_of(known: DataFrame) -> np.ndarray:
+    """``2**BITS`` bits as bytes, set where an id of ``known`` is hashed to."""
+    got = known.select("d").mapInArrow(_bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out
+
+
+def _counted(docs: DataFrame) -> np.ndarray:
+    got = docs.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS)
+    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
+
+def llr_table(docs: DataFrame, some: DataFrame, known: DataFrame) -> np.ndarray:
+    """Log-likelihood ratio of each cell, from the counts over all of ``docs`` and over the trusted ones among ``some``."""
+    trusted = known.where("trusted").select("d").hint("merge")  # labels grow with the corpus: one method at every size
+    raw, target = _counted(docs), _counted(some.join(trusted, "d", "left_semi"))
     expected = raw * (target.sum() / max(1.0, raw.sum()))
     return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)
 
 
-def threshold(scores: np.ndarray, good: np.ndarray) -> float:
-    """The highest cut below which at most ``FALSE_REJECTS`` of the good rows fall, and not above the rest's need."""
-    if not good.any() or good.all():
-        return float("-inf")
-    ok = np.sort(scores[good])
-    cut = ok[int(FALSE_REJECTS * len(ok))]
-    bad = scores[~good]
-    below = bad[bad < cut]
-    if not len(below):
+def threshold(scored: DataFrame) -> float:
+    """The highest cut below which at most ``FALSE_REJECTS`` of the good rows fall, and not above the rest's need; of (good, score)."""
+    bins = scored.groupBy("good", F.floor(F.col("score") * BINS).alias("bin")).count().toPandas()
+    good = bins[bins["good"]].sort_values("bin")
+    if not len(good) or len(good) == len(bins):
         return float("-inf")
-    return float((below.max() + cut) / 2)
+    before = np.cumsum(good["count"].to_numpy(np.int64))
+    k = int(FALSE_REJECTS * before[-1])
+    at = int(np.searchsorted(before, k, "right"))
+    where = F.floor(F.col("score") * BINS) == int(good["bin"].iloc[at])
+    cut = scored.where("good").where(where).select("score").orderBy("score").offset(k - int(before[at - 1]) if at else k).limit(1).first()[0]
+    below = scored.where(~F.col("good") & (F.col("score") < cut)).agg(F.max("score")).first()[0]
+    return float("-inf") if below is None else (below + cut) / 2
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All of ``docs`` (``doc_id``, ``text``; or the columns ``keep``) with base numbers, ``llr``, ``base_failed``, ``kept``."""
-    sample = labelled_sample(labels)
-    spark = docs.sparkSession
-    table = llr_table(docs, sample[sample[:, 2] == 1, 0])
-    text = F.col("text").cast("string").alias("__t")
-    schema = "__t string, n_words long, " + _OUT + ", score double"
-    cut = float("-inf")
-    if len(sample):
-        some = spark.createDataFrame([(int(d), bool(g)) for d, g, _ in sample], "__d long, __good boolean")
-        fit = docs.select(F.col("doc_id").cast("long").alias("__d"), text).join(F.broadcast(some), "__d")  # at most MAX_LABELLED ids
-        got = fit.select("__d", "__good", "__t").mapInArrow(_score(table), "__d long, __good boolean, " + schema).where("n_words > 0").select("__d", "__good", "score").toPandas()
-        cut = threshold(got["score"].to_numpy(), got["__good"].to_numpy(bool))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("__doc"), text)
-    scored = whole.mapInArrow(_score(table), extend(whole.schema, schema.removeprefix("__t string, ")))
+    known = materialise(labelled(labels), "labelled")
+    ids = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t"))
+    some = ids.mapInArrow(_maybe(bitmap_of(known)), ids.schema)
+    table = llr_table(ids, some, known)
+    schema = "n_words long, " + _OUT + ", score double"
+    met = some.mapInArrow(_score(table), extend(some.schema, schema)).where("n_words > 0").select("d", "score").join(known.hint("merge"), "d")
+    cut = threshold(materialise(met.select("good", "score"), "labelled-scores"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("__doc"), F.col("text").cast("string").alias("__t"))
+    scored = whole.mapInArrow(_score(table), extend(whole.schema, schema))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(cut))).drop("__t")
 

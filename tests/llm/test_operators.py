@@ -239,6 +239,20 @@ def test_quality_base_numbers_and_verdict(spark, docs):
     assert quality_rules.query(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_learns_from_every_label(spark):
+    ship(spark)
+    rng = random.Random(12)
+    rows = [(d, " ".join(f"w{rng.randrange(3000)}" for _ in range(55)), "en", "a", 0) for d in range(21_000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    labelled = lambda quality: spark.createDataFrame([(d, quality(d), 0) for d in range(21_000)], "doc_id long, quality int, toxic int")
+    assert {r.llr for r in quality_rules.query(docs, labelled(lambda d: 1)).select("llr").distinct().collect()} == {0.0}  # the target is the corpus
+    got = quality_rules.query(docs, labelled(lambda d: int(d % 3 > 0))).collect()
+    good, bad = (np.sort([r.llr for r in got if (r.doc_id % 3 > 0) == x]) for x in (True, False))
+    cut = good[int(quality_rules.FALSE_REJECTS * len(good))]
+    cut = (bad[bad < cut].max() + cut) / 2
+    assert {r.doc_id for r in got if not r.kept and not r.base_failed} == {r.doc_id for r in got if r.llr < cut and not r.base_failed} != set()
+
+
 # --- 4 ---
 
 
