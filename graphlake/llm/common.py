@@ -19,6 +19,8 @@ from ..sources.store import shared_dir
 __all__ = ["materialise", "shared_dir"]
 #: Bytes of text that numpy code looks at in one go; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 18
+#: Bytes of an Arrow batch, to which its last row is added: Spark's own bound is 10,000 rows, however long their texts.
+BATCH_BYTES = 1 << 22
 
 _shipped: set[str] = set()
 
@@ -36,6 +38,11 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(at))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches that this session sends to Python end at ``BATCH_BYTES``, as an executor holds several for each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

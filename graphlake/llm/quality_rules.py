@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, extend, grams, materialise, mix, prefix_sums, runs, span_hashes, utf8_blocks
+from .common import NOT_SPACE, bound_batches, extend, grams, materialise, mix, prefix_sums, runs, span_hashes, utf8_blocks
 
 BUCKETS = 1 << 18
 BITS = 25
@@ -123,19 +123,21 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _OUT = "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def _score(table: np.ndarray | None):
+def _score(table: np.ndarray, text: str | None = None):
+    """Base numbers and score beside a row's other columns; its text is the last column, or the field ``text`` of the only one."""
     names = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offsets in utf8_blocks(b.column(b.num_columns - 1)):
+            others = b.num_columns - (text is None)
+            for i, j, data, offsets in utf8_blocks(b.column(0).field(text) if text else b.column(others)):
                 stats, h, doc = base_statistics(data, offsets)
                 cell, cdoc = _cells(h, doc)
                 total = np.bincount(cdoc, weights=table[cell.astype(np.int64)], minlength=j - i)
                 score = total / np.maximum(1, np.bincount(cdoc, minlength=j - i))
-                cols = [b.column(k).slice(i, j - i) for k in range(b.num_columns)]
+                cols = [b.column(k).slice(i, j - i) for k in range(others)]
                 arrays = [*cols, pa.array(stats["n_words"]), *(pa.array(stats[k]) for k in names), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "n_words", *names, "score"])
+                yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names[:others], "n_words", *names, "score"])
 
     return run
 
@@ -186,17 +188,24 @@ def threshold(scored: DataFrame) -> float:
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All of ``docs`` (``doc_id``, ``text``; or the columns ``keep``) with base numbers, ``llr``, ``base_failed``, ``kept``."""
+    bound_batches(docs.sparkSession)
     known = materialise(labelled(labels), "labelled")
     ids = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("t"))
-    some = ids.mapInArrow(_maybe(bitmap_of(known)), ids.schema)
+    maybe = _maybe(bitmap_of(known))
+    some = ids.mapInArrow(maybe, ids.schema)
     table = llr_table(ids, some, known)
     schema = "n_words long, " + _OUT + ", score double"
-    met = some.mapInArrow(_score(table), extend(some.schema, schema)).where("n_words > 0").select("d", "score").join(known.hint("merge"), "d")
-    cut = threshold(materialise(met.select("good", "score"), "labelled-scores"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("__doc"), F.col("text").cast("string").alias("__t"))
-    scored = whole.mapInArrow(_score(table), extend(whole.schema, schema))
+    score = _score(table)
+    met = ids.mapInArrow(lambda batches: score(maybe(batches)), extend(ids.select("d").schema, schema))  # one Python worker a task
+    cut = threshold(materialise(met.where("n_words > 0").join(known.hint("merge"), "d").select("good", "score"), "labelled-scores"))
+    keep = keep or ["doc_id"]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__doc"), F.col("text").cast("string").alias("__t"))
+    if "text" in keep and ("text", "string") in docs.dtypes:  # it goes to Python once
+        scored = whole.select("__doc").mapInArrow(_score(table, "text"), extend(whole.select("__doc").schema, schema))
+    else:
+        scored = whole.mapInArrow(score, extend(whole.select("__doc").schema, schema))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(cut))).drop("__t")
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= F.lit(cut)))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -239,6 +239,33 @@ def test_quality_base_numbers_and_verdict(spark, docs):
     assert quality_rules.query(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def bytes_sent(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+
+def test_quality_sends_texts_in_bounded_batches(spark):
+    ship(spark)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('a word ', 15000) AS text")
+    quality_rules.filter_documents(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    sent = [r.n for r in docs.mapInArrow(bytes_sent, "n long").collect()]
+    assert sum(sent) > 20_000_000 and max(sent) < 5_000_000
+
+
+def test_quality_texts_come_back_only_where_asked_for(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "a b " * 40), (2, None), (None, "c d e")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    table = np.arange(quality_rules.BUCKETS, dtype=np.float32)
+    batch = pa.RecordBatch.from_pylist([{"d": {"doc_id": 1, "text": "a b c"}}, {"d": {"doc_id": 2, "text": None}}])
+    flat = pa.RecordBatch.from_pylist([{"d": 1, "t": "a b c"}, {"d": 2, "t": None}])
+    one, two = (pa.Table.from_batches(quality_rules._score(table, text)([b])) for text, b in (("text", batch), (None, flat)))
+    assert two.column_names == ["d", *one.column_names[1:]] and one.drop_columns("d").equals(two.drop_columns("d"))
+    whole, ids = (quality_rules.score_documents(docs, labels, keep).drop("__doc").collect() for keep in (docs.columns, ["doc_id"]))
+    assert sorted(map(str, whole)) == sorted(map(str, ids)) and len(whole) == 3
+
+
 def test_quality_learns_from_every_label(spark):
     ship(spark)
     rng = random.Random(12)
