@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, grams, materialise, mix, prefix_sums, runs, span_hashes, utf8_blocks
+from .common import LOWER, NOT_SPACE, bound_batches, grams, materialise, mix, prefix_sums, runs, span_hashes, utf8_blocks
 from .components import components
 
 TREES = 24
@@ -301,6 +301,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, depth: int = DEPTH, root: int = ROOT, window: int = WINDOW, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs`` (``doc_id`` long, ``text``)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(docs.mapInArrow(_sign(words, trees, depth), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")

@@ -253,6 +253,14 @@ def test_quality_sends_texts_in_bounded_batches(spark):
     assert sum(sent) > 20_000_000 and max(sent) < 5_000_000
 
 
+def test_forest_sends_texts_in_bounded_batches(spark):
+    ship(spark)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    minhash_forest.query(spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string"))
+    docs = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('a word ', 15000) AS text")
+    assert max(r.n for r in docs.mapInArrow(bytes_sent, "n long").collect()) < 5_000_000
+
+
 def test_quality_texts_come_back_only_where_asked_for(spark):
     ship(spark)
     docs = spark.createDataFrame([(1, "a b " * 40), (2, None), (None, "c d e")], "doc_id long, text string")
