@@ -21,6 +21,8 @@ __all__ = ["materialise", "shared_dir"]
 BLOCK_BYTES = 1 << 18
 #: Bytes of an Arrow batch, to which its last row is added: Spark's own bound is 10,000 rows, however long their texts.
 BATCH_BYTES = 1 << 22
+#: Lets an execution remove its shuffle files when it ends; else they lie until the driver happens to collect its garbage.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 
@@ -43,6 +45,20 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def materialise_lean(df: DataFrame, name: str) -> DataFrame:
+    """``materialise``, and the shuffle files of ``df`` are gone once it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(REMOVE_SHUFFLES, None)
+    conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        if before is None:
+            conf.unset(REMOVE_SHUFFLES)
+        else:
+            conf.set(REMOVE_SHUFFLES, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise_lean
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +32,10 @@ def _state(links: DataFrame) -> tuple:
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) for every node in ``links`` (columns a, b), root being the least node it is connected with."""
-    links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    links = materialise_lean(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _state(links)
     while seen[0]:
-        links = materialise(_star(_star(links, True), False), name)
+        links = materialise_lean(_star(_star(links, True), False), name)
         now = _state(links)
         if now == seen:
             break

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, bound_batches, grams, materialise, mix, prefix_sums, runs, span_hashes, utf8_blocks
+from .common import LOWER, NOT_SPACE, bound_batches, grams, materialise_lean, mix, prefix_sums, runs, span_hashes, utf8_blocks
 from .components import components
 
 TREES = 24
@@ -275,7 +275,9 @@ def crowd_links(tree: DataFrame, roots: DataFrame, docs: DataFrame, words: int,
         .where((F.col("m") > window + 1) & (F.col("lo") != F.col("hi")))
         .select("region", F.ceil(F.col("mass") / block_mass).cast("int").alias("blocks"), "widest")
     )
-    rows = rooted.join(dense.hint("merge"), "region").withColumn("mine", F.pmod(F.xxhash64("cid", "region"), "blocks").cast("int"))
+    # Written before texts join, so that the shuffles of regions don't lie on disk beside those of texts.
+    crowded = materialise_lean(rooted.join(dense.hint("merge"), "region"), "crowded")
+    rows = crowded.withColumn("mine", F.pmod(F.xxhash64("cid", "region"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("region", "cid", "root", "widest", "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
     full = rows.join(docs.select(F.col("doc_id").alias("cid"), "text").hint("merge"), "cid")
@@ -303,20 +305,20 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
     """(doc_id, n_shingles, component_id), a row for each row of ``docs`` (``doc_id`` long, ``text``)."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialise(docs.mapInArrow(_sign(words, trees, depth), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
+    signed = materialise_lean(docs.mapInArrow(_sign(words, trees, depth), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     by_set = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cid"), F.min("sig").alias("sig"))
-    classes = materialise(by_set, "classes")
+    classes = materialise_lean(by_set, "classes")
     spans = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("byte").alias("t"), F.substring(F.col("sig"), t * 4 * depth + 1, F.lit(4 * depth)).alias("s")))
     tree = classes.select("cid", "n", F.explode(spans).alias("x")).select("cid", "n", F.xxhash64(F.col("x.t"), F.substring("x.s", 1, 4 * root)).alias("region"), F.substring("x.s", 4 * root + 1, 4 * (depth - root)).alias("rest"))
     sorted_trees = deepened(tree.select("cid", "region", "rest"), depth - root, region).repartition("region").sortWithinPartitions("region", "rest", "cid")
     found = sorted_trees.select("region", "cid", "head").mapInArrow(_neighbours(window), "a long, b long")
-    pairs = materialise(found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+    pairs = materialise_lean(found.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
 
     used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialise(docs.join(used.hint("merge"), "doc_id"), "pair-texts")  # only documents with candidates
+    texts = materialise_lean(docs.join(used.hint("merge"), "doc_id"), "pair-texts")  # only documents with candidates
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
-    first = materialise(confirm(best, texts, words, percent), "links")
+    first = materialise_lean(confirm(best, texts, words, percent), "links")
     # Versions of one document belong together, whatever their sets.
     members = usable.join(classes.select("h1", "h2", "n", "cid").hint("merge"), ["h1", "h2", "n"]).select("doc_id", "cid", "h1")
     versions = usable.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id")
@@ -330,10 +332,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES,
         .where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
         .select("a", "b")
     )
-    left = materialise(left, "left")
+    left = materialise_lean(left, "left")
     second = confirm(left, texts, words, percent)
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
-    third = materialise(crowd_links(tree.select("cid", "n", "region"), final, docs, words, percent, window), "crowd-links")
+    third = materialise_lean(crowd_links(tree.select("cid", "n", "region"), final, docs, words, percent, window), "crowd-links")
     if not third.isEmpty():
         final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third))
     # A class that no link reaches is its own component; documents follow their class.
@@ -353,12 +355,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     kept = link(docs, words, percent)
     gone = kept.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     rows = docs.select(F.struct("*").alias("__doc"), F.col("doc_id").cast("long").alias("__id"))
-    stay = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    many = docs.groupBy(F.col("doc_id").cast("long").alias("__many")).agg(F.count("*").alias("n")).where("n > 1 AND __many IS NOT NULL").select("__many")
-    repeated = F.col("__id") == F.col("__many")
+    # Whole rows are shuffled once: the hash join leaves them where the window wants them, and rows without an id stay where they are.
+    stay = rows.where("__id IS NOT NULL").join(gone.hint("shuffle_hash"), F.col("__id") == F.col("__gone"), "left_anti")
     order = Window.partitionBy("__id").orderBy(F.xxhash64("__doc"))
-    one = stay.join(many, repeated, "left_semi").withColumn("__k", F.row_number().over(order)).where("__k = 1").select("__doc.*")
-    return stay.join(many, repeated, "left_anti").select("__doc.*").unionByName(one)
+    one = stay.withColumn("__k", F.row_number().over(order)).where("__k = 1")
+    return one.select("__doc.*").unionByName(rows.where("__id IS NULL").select("__doc.*"))
 
 
 #: Words by splitting; shingle sets, all pairs of documents that share a shingle, then components.

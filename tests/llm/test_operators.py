@@ -389,6 +389,42 @@ def components_brute(rows, words):
     return {d: (len(sets[d]), None if d is None else find(d)) for d in sets}
 
 
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        f = files.next()
+        if f.getName().startswith("shuffle_"):
+            total += f.length()
+    return total
+
+
+def test_forest_leaves_no_shuffle_files(spark):
+    ship(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    text = "concat_ws(' ', transform(sequence(1, 300), x -> sha2(concat(id div 2, '-', x), 256)))"
+    docs = spark.range(100).selectExpr("id AS doc_id", f"concat({text}, ' w', id) AS text").localCheckpoint()
+    before = shuffle_bytes(spark)
+    minhash_forest.link(docs)
+    for _ in range(50):  # files are removed in the background
+        if (left := shuffle_bytes(spark) - before) < 200_000:
+            break
+        time.sleep(0.2)
+    assert left < 200_000  # texts are 2 MB
+    assert spark.conf.get(key, None) == setting
+
+
+def test_keep_one_shuffles_rows_once(spark):
+    ship(spark)
+    text = "some words that make a text of which there are near copies or versions or none"
+    rows = [(1, text), (2, text), (3, "a"), (3, "b"), (4, text + " more"), (4, text), (None, "c"), (None, "c"), (5, "")]
+    out = minhash_forest.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().sparkPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(__id") == 1
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "5", "None", "None"]
+
+
 def test_near_duplicates_match_brute_force(spark):
     ship(spark)
     rows = corpus(4, 200)
