@@ -19,7 +19,7 @@ _SPLIT = r"[\s\p{Z}\p{Cc}\p{P}&&[^_]]+"
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SPLIT), "")
 
 
 def texts(df: DataFrame, attr: str | None = None) -> DataFrame:
@@ -101,18 +101,18 @@ def edge_texts(graph: Graph, kind: str) -> DataFrame:
     return out
 
 
-def _back(n: int):
-    return lambda p: p - n
-
-
 class StoredIndex:
-    """A full-text index in files: words with positions and hashes of whole values, bucketed by word.
+    """A full-text index in files: each word of a text with its position, and hashes of whole values.
 
-    ``part`` is the bucket of a word (or of a value's md5), a folder of its own, so a lookup reads one bucket and, in it, the row
-    groups whose statistics admit the word (rows are sorted by it).  A change is a table of the keys concerned and one
-    of their new entries; a lookup leaves out what later changes took back, and ``compact`` makes one table of all again.
+    Texts are spread evenly, so that a task's words fit its memory, and a task writes its words as a file sorted by the word's
+    ``hash``: texts are shuffled, words never.  A lookup reads, of each file, the pages whose statistics admit the hash.  A change
+    is a table of the keys concerned and one of their new entries; a lookup leaves out what later changes took back, and
+    ``compact`` makes one table of all again, with small files packed together.  ``buckets`` is accepted but has no effect: there
+    are no folders by word.
     """
 
+    SCHEMA = "at string, key string, word string, pos bigint, hash int"  # at: kind and attribute
+
     def __init__(self, spark, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -124,15 +124,18 @@ class StoredIndex:
         return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit())
 
     def _entries(self, rows: DataFrame) -> DataFrame:
-        t = rows.select("kind", "key", "attr", "text")
-        words = t.select("kind", "key", "attr", F.posexplode(word_array(F.col("text"))).alias("p", "word")).groupBy("kind", "key", "attr", "word").agg(F.sort_array(F.collect_list((F.col("p") + 1).cast("long"))).alias("positions"))
-        values = t.select("kind", "key", "attr", F.concat(F.lit("\x00"), F.md5(F.lower("text"))).alias("word"), F.array().cast("array<long>").alias("positions"))
-        return words.unionByName(values).withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int"))
+        """Words of a text and, as its last, the hash of the whole."""
+        whole = F.concat(F.lit("\x00"), F.md5(F.lower("text")))
+        words = F.posexplode(F.concat(word_array(F.col("text")), F.array(whole))).alias("p", "word")
+        at = F.concat_ws("\x00", "kind", "attr").alias("at")
+        return rows.hint("rebalance", "key").select(at, "key", words).select("at", "key", "word", (F.col("p") + 1).cast("long").alias("pos"))
 
     def _put(self, entries: DataFrame, keys: DataFrame | None) -> None:
-        """A version is written aside and appears by a rename."""
+        """A version is written aside and appears by a rename.  Rows are sorted by one number, hash and position, which Spark does by radix."""
         aside, version = f"{self.path}/_aside-{uuid.uuid4().hex}", (self._versions() or [-1])[-1] + 1
-        entries.repartition("part", "word").sortWithinPartitions("part", "word", "kind", "key").write.partitionBy("part").parquet(f"{aside}/entries")
+        place = F.shiftleft(F.hash("word").cast("long"), 32).bitwiseOR(F.col("pos"))
+        rows = entries.select("at", "key", "word", place.alias("place")).sortWithinPartitions("place")
+        rows.select("at", "key", "word", F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos"), F.shiftright("place", 32).cast("int").alias("hash")).write.parquet(f"{aside}/entries")
         if keys is not None:
             keys.write.parquet(f"{aside}/keys")
         self._fs.rename(self._path(aside), self._path(f"{self.path}/v{version:06d}"))
@@ -153,54 +156,50 @@ class StoredIndex:
             keys = keys.unionByName(removed.select(F.col("key").cast("string").alias("key")))
         self._put(self._entries(texts(rows).select(F.lit(kind).alias("kind"), "key", "attr", "text")), keys.select(F.lit(kind).alias("kind"), "key").distinct())
 
-    def _read(self, what=None) -> DataFrame:
+    def _read(self, what: Column | None = None) -> DataFrame:
         """Entries that hold, of all words or where ``what`` holds."""
-        versions, out = self._versions(), None
-        changed = {}
-        for v in versions:
-            at = f"{self.path}/v{v:06d}"
-            if self._fs.exists(self._path(f"{at}/keys")):
-                changed[v] = self.spark.read.parquet(f"{at}/keys").select(F.col("kind").alias("__kind"), F.col("key").alias("__key"))
+        versions, changed = self._versions(), None
         for v in versions:
-            d = self.spark.read.schema("kind string, key string, attr string, word string, positions array<long>, part int").parquet(f"{self.path}/v{v:06d}/entries")
-            d = d if what is None else d.where(what)
-            later = None
-            for w, k in changed.items():
-                if w > v:
-                    later = k if later is None else later.unionByName(k)
-            if later is not None:
-                d = d.join(later, (F.col("kind") == F.col("__kind")) & (F.col("key") == F.col("__key")), "left_anti")
-            out = d if out is None else out.unionByName(d)
-        return out
+            at = f"{self.path}/v{v:06d}/keys"
+            if self._fs.exists(self._path(at)):
+                k = self.spark.read.schema("kind string, key string").parquet(at).select(F.concat("kind", F.lit("\x00")).alias("__kind"), F.col("key").alias("__key"), F.lit(v).cast("long").alias("__since"))
+                changed = k if changed is None else changed.unionByName(k)
+        d = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/v{v:06d}/entries" for v in versions])
+        if changed is None:
+            return d if what is None else d.where(what)
+        d = d.withColumn("__file", F.col("_metadata.file_path"))
+        version = F.regexp_extract("__file", r"^.*/v(\d+)/entries/", 1).cast("long")  # in the condition, thus worked out for changed keys only
+        later = (F.col("key") == F.col("__key")) & F.startswith(F.col("at"), F.col("__kind")) & (version < F.col("__since"))
+        return (d if what is None else d.where(what)).join(changed, later, "left_anti").drop("__file")
 
     def compact(self) -> None:
         """All that holds as one version; older ones go."""
         old = self._versions()
-        self._put(self._read().drop("part").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(self.buckets)).cast("int")), None)
+        self._put(self._read(), None)
         for v in old:
             self._fs.delete(self._path(f"{self.path}/v{v:06d}"), True)
 
-    def _word(self, word: str) -> DataFrame:
-        part = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(word)), F.lit(self.buckets)).cast("int")).first()[0]
-        return self._read((F.col("part") == part) & (F.col("word") == word))
+    def _word(self, kind: str, attr: str, word: str) -> DataFrame:
+        """(key, pos) of a word."""
+        return self._read((F.col("hash") == F.hash(F.lit(word))) & (F.col("word") == word) & (F.col("at") == f"{kind}\x00{attr}")).select("key", "pos")
 
     def lookup_word(self, kind: str, attr: str, word: str) -> DataFrame:
         """(key, positions)"""
-        return self._word(word.lower()).where((F.col("kind") == kind) & (F.col("attr") == attr)).select("key", "positions")
+        return self._word(kind, attr, word.lower()).groupBy("key").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
     def count_word(self, kind: str, attr: str, word: str) -> DataFrame:
         return self.lookup_word(kind, attr, word).agg(F.count(F.lit(1)).alias("n"))
 
     def lookup_value(self, kind: str, attr: str, value: str) -> DataFrame:
         digest = hashlib.md5(value.lower().encode()).hexdigest()
-        return self._word("\x00" + digest).where((F.col("kind") == kind) & (F.col("attr") == attr)).select("key").distinct()
+        return self._word(kind, attr, "\x00" + digest).select("key").distinct()
 
     def lookup_phrase(self, kind: str, attr: str, phrase: str) -> DataFrame:
-        """Keys with the phrase's words one after the other: positions, shifted to that of the first word, intersect."""
+        """Keys with the phrase's words one after the other: places of words, shifted to that of the first word, meet."""
         out = None
         for i, w in enumerate(split_words(phrase)):
-            at = self.lookup_word(kind, attr, w).select("key", F.transform("positions", _back(i)).alias(f"p{i}"))
-            out = at if out is None else out.join(at, "key").withColumn("p0", F.array_intersect("p0", f"p{i}")).drop(f"p{i}").where(F.size("p0") > 0)
+            at = self._word(kind, attr, w).select("key", (F.col("pos") - i).alias("pos"))
+            out = at if out is None else out.join(at, ["key", "pos"])
         return self.spark.createDataFrame([], "key string") if out is None else out.select("key").distinct()
 
 
