@@ -53,3 +53,13 @@ def test_changes_and_compaction_shuffle_no_words(spark, docs, tmp_path):
     assert shuffled(spark, before) == 0
     assert index._versions() == [3] and not glob.glob(f"{tmp_path}/v7/entries/v*/keys")
     agrees()
+
+
+def test_building_shuffles_texts_and_no_words(spark, docs, tmp_path):
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    before = last_stage(spark)
+    index = fulltext.StoredIndex(spark, str(tmp_path / "index"), 4).build({"Doc": docs})
+    assert 0 < shuffled(spark, before) <= len(DOCS)
+    for word in ("TO", "w96", "end", "absent"):
+        assert plain(index.lookup_word("Doc", "text", word)) == plain(fulltext.lookup_word(docs, "text", word))
+        assert plain(index.count_word("Doc", "text", word)) == plain(fulltext.count_word(docs, "text", word))
