@@ -195,9 +195,12 @@ class StoredIndex:
         return self._word(kind, attr, "\x00" + digest).select("key").distinct()
 
     def lookup_phrase(self, kind: str, attr: str, phrase: str) -> DataFrame:
-        """Keys with the phrase's words one after the other: places of words, shifted to that of the first word, meet."""
+        """Keys with the phrase's words one after the other: places of words, shifted to that of the first word, meet.
+
+        Long words, which tend to be rare, come first, so that what meets a frequent word may be small enough to broadcast.
+        """
         out = None
-        for i, w in enumerate(split_words(phrase)):
+        for i, w in sorted(enumerate(split_words(phrase)), key=lambda x: -len(x[1])):
             at = self._word(kind, attr, w).select("key", (F.col("pos") - i).alias("pos"))
             out = at if out is None else out.join(at, ["key", "pos"])
         return self.spark.createDataFrame([], "key string") if out is None else out.select("key").distinct()

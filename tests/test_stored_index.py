@@ -63,3 +63,12 @@ def test_building_shuffles_texts_and_no_words(spark, docs, tmp_path):
     for word in ("TO", "w96", "end", "absent"):
         assert plain(index.lookup_word("Doc", "text", word)) == plain(fulltext.lookup_word(docs, "text", word))
         assert plain(index.count_word("Doc", "text", word)) == plain(fulltext.count_word(docs, "text", word))
+
+
+def test_words_of_a_text_are_not_aggregated_and_phrases_agree(spark, docs, tmp_path):
+    index = fulltext.StoredIndex(spark, str(tmp_path / "index"), 4)
+    rows = fulltext.texts(docs).selectExpr("'Doc' AS kind", "key", "attr", "text")
+    assert "Aggregate" not in index._entries(rows)._jdf.queryExecution().executedPlan().toString()
+    index.build({"Doc": docs})
+    for phrase in ("to be or not to be", "be, to be", "not TO", "w7 w8 w9", "the end", "end the", "be be", "to", "absent to", ""):
+        assert plain(index.lookup_phrase("Doc", "text", phrase)) == plain(fulltext.lookup_phrase(docs, "text", phrase)), phrase
